@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, packing
+from . import bpe, chat, fingerprint, linededup, packing, sharding, simhash
 from .common import table
 
 WORD_PARTS = "byte_bpe_50k.json"
@@ -18,13 +19,43 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_PARTS))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned = sharding.assign(table(spark, sf_dir, "documents"), 8)
+    return assigned.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(MANY_LANGUAGES), public_tokenizers.PATTERN)
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.drop_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op5_bpe": op5_bpe}
+    return {
+        "op1_packing": op1_packing,
+        "op2_sharding": op2_sharding,
+        "op5_bpe": op5_bpe,
+        "op6_fingerprints": op6_fingerprints,
+        "op7_simhash": op7_simhash,
+        "op8_line_dedup": op8_line_dedup,
+        "op10_chat": op10_chat,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_line_dedup": linededup.SQL, "op10_chat": chat.SQL}
