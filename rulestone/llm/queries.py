@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, linededup, packing, sharding, simhash
-from .common import table
+from . import ann, bpe, chat, fingerprint, linededup, packing, quality, sharding, simhash, toxicity
+from .common import held_out, table
 
 WORD_PARTS = "byte_bpe_50k.json"
 MANY_LANGUAGES = "byte_bpe_multi_50k.tiktoken"
@@ -24,6 +24,21 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assigned.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scorer = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, scorer).select(
+        "doc_id",
+        held_out().alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def op4_projection_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(MANY_LANGUAGES), public_tokenizers.PATTERN)
 
@@ -41,6 +56,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.drop_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.assess(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
@@ -49,10 +69,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_sharding": op2_sharding,
+        "op3_toxicity": op3_toxicity,
+        "op4_projection_ann": op4_projection_ann,
         "op5_bpe": op5_bpe,
         "op6_fingerprints": op6_fingerprints,
         "op7_simhash": op7_simhash,
         "op8_line_dedup": op8_line_dedup,
+        "op9_quality": op9_quality,
         "op10_chat": op10_chat,
     }
 
