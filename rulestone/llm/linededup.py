@@ -99,6 +99,14 @@ def drop_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     )
 
 
+def cut_documents(docs: DataFrame, width: int = WINDOW) -> DataFrame:
+    """drop_repeats() with the columns of docs alone; n_chars, where it is one, becomes that of the text that is left.
+    Documents of which nothing is left go; those that were empty before stay."""
+    cut = drop_repeats(docs, width).filter((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    own = {"n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))}
+    return cut.withColumns({c: v for c, v in own.items() if c in docs.columns}).select(*docs.columns)
+
+
 #: DuckDB SQL for drop_repeats() over documents: doc_id, n_lines, n_removed, text. Assumes ids are unique.
 SQL = r"""
 WITH line AS (
