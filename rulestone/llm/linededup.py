@@ -13,6 +13,7 @@ from .common import checkpoint, text_or_empty
 
 WINDOW = 3
 _SPAN = 1 << 32  # positions in a document are below it
+_BLANK = " \t\r\x0b\f"
 
 
 def _lines() -> Column:
@@ -20,9 +21,10 @@ def _lines() -> Column:
 
 
 def _solid(lines: Column) -> Column:
-    """at (place in lines) and line (trimmed) of the lines that hold more than white space."""
-    numbered = F.transform(lines, lambda line, at: F.struct(at.alias("at"), F.trim(F.regexp_replace(line, r"[\t\r\x0B\f]", " ")).alias("line")))
-    return F.filter(numbered, lambda s: s["line"] != "")
+    """at (place in lines), a and b (two hashes) of the lines that hold more than white space, without that around."""
+    numbered = F.transform(lines, lambda line, at: F.struct(at.alias("at"), F.btrim(line, F.lit(_BLANK)).alias("line")))
+    solid = F.filter(numbered, lambda s: s["line"] != "")
+    return F.transform(solid, lambda s: F.struct(s["at"].alias("at"), F.xxhash64(s["line"]).alias("a"), F.xxhash64(F.lit(7), s["line"]).alias("b")))
 
 
 def _document() -> list[Column]:
@@ -31,27 +33,28 @@ def _document() -> list[Column]:
 
 
 def windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
-    """doc_id, text_hash, at (place among the document's solid lines), h1 and h2 (two 64-bit hashes of the lines), and
-    place, which orders all windows by doc_id and position; nulls come first."""
-    solid = F.transform(_solid(_lines()), lambda s: F.xxhash64(s["line"]))
-    second = F.transform(_solid(_lines()), lambda s: F.xxhash64(F.lit(7), s["line"]))
-    each = docs.select(*_document(), solid.alias("a"), second.alias("b")).filter(F.size("a") >= width)
-    slid = F.transform(
-        F.sequence(F.lit(0), F.size("a") - width),
-        lambda i: F.struct(
-            F.xxhash64(*[F.get("a", i + k) for k in range(width)]).alias("h1"), F.xxhash64(*[F.get("b", i + k) for k in range(width)]).alias("h2")
-        ),
-    )
+    """doc_id, text_hash, at (number among the document's solid lines), covers (places of its lines), h1 and h2 (two
+    64-bit hashes of them), and place, which orders all windows by doc_id and position; nulls come first."""
+    each = docs.select(*_document(), _solid(_lines()).alias("solid"))
+
+    def window(i: Column) -> Column:
+        own = [F.get("solid", i + k) for k in range(width)]
+        return F.struct(
+            F.array(*[s["at"] for s in own]).alias("covers"), F.xxhash64(*[s["a"] for s in own]).alias("h1"), F.xxhash64(*[s["b"] for s in own]).alias("h2")
+        )
+
+    # without a filter, which would be pushed below the projection and hash all lines again
+    slid = F.when(F.size("solid") >= width, F.transform(F.sequence(F.lit(0), F.size("solid") - width), window))
     place = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(20,0)")) * F.lit(_SPAN).cast("decimal(11,0)")
     return (
         each.select("doc_id", "text_hash", F.posexplode(slid).alias("at", "w"))
-        .select("doc_id", "text_hash", "at", F.col("w.h1").alias("h1"), F.col("w.h2").alias("h2"))
+        .select("doc_id", "text_hash", "at", "w.covers", "w.h1", "w.h2")
         .withColumn("place", (place + F.col("at").cast("decimal(11,0)")).cast("decimal(38,0)"))
     )
 
 
 def removals(docs: DataFrame, width: int = WINDOW) -> DataFrame:
-    """doc_id, text_hash, gone (places among the document's solid lines; may repeat)."""
+    """doc_id, text_hash, gone (places among the document's lines; may repeat)."""
     every = windows(docs, width)
     repeated = checkpoint(
         every.groupBy("h1", "h2")
@@ -63,7 +66,7 @@ def removals(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     # an occurrence that overlaps the first one spares that one's lines
     spared = F.when(gap < width, F.lit(width) - gap.cast("int")).otherwise(0)
     later = every.join(repeated, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2"))).filter(gap > 0)
-    covered = F.sequence(F.col("at") + spared, F.col("at") + width - 1)
+    covered = F.slice("covers", spared + 1, F.lit(width))
     return later.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list(covered)).alias("gone"))
 
 
@@ -82,18 +85,17 @@ def drop_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     gone = removals(docs, width).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash"), "gone")
     gone = gone.withColumnRenamed("gone", "_gone")
     doc_id, text_hash = _document()
+    text = text_or_empty()
     joined = docs.join(gone, doc_id.eqNullSafe(gone["_gone_id"]) & (text_hash == gone["_gone_hash"]), "left")
-    solid = F.transform(_solid(_lines()), lambda s: s["at"])
-    lost = F.array_distinct(F.transform(F.col("_gone"), lambda p: F.get(solid, p)))
     staying = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_lost"))
     kept = F.array_join(F.transform(staying, lambda i: F.get(F.col("_lines"), i)), "\n")
     cut = F.when(F.size("_lost") == F.size("_lines"), "").otherwise(kept)
     return (
-        joined.withColumn("_lost", lost)
+        joined.withColumn("_lost", F.array_distinct("_gone"))
         .withColumn("_lines", F.when(F.col("_lost").isNotNull(), _lines()))
         .select(
             *[F.when(F.col("_lost").isNull(), F.col("text")).otherwise(cut).alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")],
-            F.size(_lines()).alias("n_lines"),
+            (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("n_lines"),
             F.coalesce(F.size("_lost"), F.lit(0)).alias("n_removed"),
         )
     )
@@ -115,7 +117,7 @@ WITH line AS (
   FROM documents
 ), solid AS (
   SELECT doc_id, ln, s, row_number() OVER (PARTITION BY doc_id ORDER BY ln) - 1 AS p
-  FROM (SELECT doc_id, ln, trim(regexp_replace(line, '[\t\r\x0B\f]', ' ', 'g'), ' ') AS s FROM line) WHERE s <> ''
+  FROM (SELECT doc_id, ln, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS s FROM line) WHERE s <> ''
 ), three AS (
   SELECT doc_id, p, s || chr(10) || lead(s, 1) OVER w || chr(10) || lead(s, 2) OVER w AS w3
   FROM solid WINDOW w AS (PARTITION BY doc_id ORDER BY p)
