@@ -36,7 +36,7 @@ STAND_IN, DROPPED_SIGN, DROPPED_STAND_IN, DROPPED_REPEAT = -1.5, -0.7, -2.5, -0.
 #: Prefixes of words that are features, by length; a word itself is one too.
 STEMS = (4, 5, 6)
 #: Most labelled documents that the scorer is fitted on: those of least hash of doc_id. The language model takes all.
-SAMPLE = 20_000
+SAMPLE = 10_000
 #: Lower bound of a proportion: standard deviations below.
 SURE = 1.64
 THRESHOLD = 0.7
@@ -169,7 +169,7 @@ class Restorer:
         found = self.known.get(token)
         if found is None:
             found = tuple(dict.fromkeys(f for word in self.restore(token) for f in (word, *(f"{word[:n]}-" for n in STEMS if len(word) > n))))
-            if len(self.known) >= 400_000:
+            if len(self.known) >= 100_000:
                 self.known.clear()
             self.known[token] = found
         return found
@@ -243,39 +243,48 @@ def chance_of(n: int, t: int, share: float) -> float:
     return sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * log(share) + (n - k) * log(1 - share)) for k in range(t, n + 1))
 
 
-def weigh(sample: list[tuple[set[str], int]]) -> dict[str, float]:
-    """Weights of the features that count. Features that occur in n documents are compared with each other: of those
-    with t or more toxic ones, the share that chance alone would give is false. A feature counts if that share is under
-    FALSE; its weight follows the lower bound of its share of toxic documents."""
-    toxic, clean = Counter(), Counter()
-    for own, label in sample:
-        (toxic if label else clean).update(own)
-    share = (sum(label for _, label in sample) + 0.5) / (len(sample) + 1)
-    alike = Counter((toxic[f] + clean[f], toxic[f]) for f in toxic.keys() | clean.keys())
-    number: Counter = Counter()
-    for (n, _), k in alike.items():
-        number[n] += k
-    weight_of = {}
-    for n, t in alike:
-        if t < 2 or t <= max(0.5, share) * n:
-            continue
-        reached = sum(k for (m, u), k in alike.items() if m == n and u >= t)
-        false = min(1.0, number[n] * chance_of(n, t, share) / reached)
-        if false < FALSE:
-            p, z = t / n, SURE
-            low = (p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-            weight_of[n, t] = -log(1 - min(low * (1 - false), 0.999))
-    return {f: w for f, t in toxic.items() if (w := weight_of.get((t + clean[f], t)))}
+def weigh(sample: list[tuple[np.ndarray, int]], sure: np.ndarray) -> dict[int, float]:
+    """sample: hashes of each text's features, and labels. Weights of the features that count, by the texts without any
+    of the sure ones. Features that occur in n documents are compared with each other: of those with t or more toxic
+    ones, the share that chance alone would give is false. A feature counts if that share is under FALSE; its weight
+    follows the lower bound of its share of toxic documents."""
+    left = [(own, label) for own, label in sample if not np.isin(own, sure).any()]
+    if not any(label for _, label in left):
+        return {}
+    share = (sum(label for _, label in left) + 0.5) / (len(left) + 1)
+    every, n_of = np.unique(np.concatenate([own for own, _ in left]), return_counts=True)
+    number = np.bincount(n_of)
+    toxic, t_of = np.unique(np.concatenate([own for own, label in left if label]), return_counts=True)
+    n_of = n_of[np.searchsorted(every, toxic)]
+    weights = {}
+    for n in np.unique(n_of[t_of > 1]).tolist():
+        here, reached = n_of == n, 0
+        for t in sorted(set(t_of[here].tolist()), reverse=True):
+            if t < 2 or t <= max(0.5, share) * n:
+                break
+            found = toxic[here & (t_of == t)].tolist()
+            reached += len(found)
+            false = min(1.0, int(number[n]) * chance_of(n, t, share) / reached)
+            if false < FALSE:
+                p, z = t / n, SURE
+                low = (p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+                weights |= dict.fromkeys(found, -log(1 - min(low * (1 - false), 0.999)))
+    return weights
 
 
 def fit(sample: list[tuple[str, int]], counts: np.ndarray) -> Scorer:
     """sample: whole texts and labels. Features that make a document toxic almost surely are taken first; the others are
-    weighed on the documents that have none of them, so that company of sure ones doesn't count for them."""
-    restorer = Restorer(LanguageModel(counts))
-    seen = [({f for token in restorer.tokens(text) for f in restorer.features(token)}, label) for text, label in distinct_texts(sample)]
-    sure = {f: w for f, w in weigh(seen).items() if w >= -log(1 - SURELY)}
-    rest = weigh([(own, label) for own, label in seen if not own & sure.keys()])
-    return Scorer(counts, rest | sure)
+    weighed on the documents that have none of them, so that company of sure ones doesn't count for them. Only features
+    of toxic documents are held by name, the others as hashes."""
+    restorer, names, hashed = Restorer(LanguageModel(counts)), {}, []
+    for text, label in distinct_texts(sample):
+        own = {xxhash.xxh64_intdigest(f): f for token in restorer.tokens(text) for f in restorer.features(token)}
+        hashed.append((np.fromiter(own, np.uint64, len(own)), label))
+        if label:
+            names |= own
+    sure = {f: w for f, w in weigh(hashed, np.empty(0, np.uint64)).items() if w >= -log(1 - SURELY)}
+    found = weigh(hashed, np.fromiter(sure, np.uint64, len(sure))) | sure
+    return Scorer(counts, {names[f]: w for f, w in found.items()})
 
 
 def gather_trigrams(docs: DataFrame) -> np.ndarray:
