@@ -23,7 +23,7 @@ from .common import checkpoint
 #: Projected dimensions (even), the chance of the stopping test, seed of the Gaussians.
 PROJECTED, CHANCE, SEED = 8, 0.97, 20
 #: Candidates and queries of one block; points of a kd-tree's leaf; leaves verified between two tests.
-BLOCK, QUERY_BLOCK, LEAF, STEP = 8192, 1024, 48, 4
+BLOCK, QUERY_BLOCK, LEAF, STEP = 16384, 1024, 48, 16
 
 
 def chi_square(x: float, dimensions: int) -> float:
@@ -98,26 +98,24 @@ class Block:
         gap = np.maximum(np.maximum(tree.low - shown, shown - tree.high), 0)
         floor = (gap * gap).sum(1)
         visit = np.argsort(floor, kind="stable")
-        points, scores, found, worst = [], [], 0, -np.inf
+        # scores of the walk are those of fast matrix products; the best are scored anew, alike for equal vectors
+        points, scores, top, far = [], [], np.empty(0), np.inf
         for at in range(0, len(visit), STEP):
-            if found > k:
-                # squared distance of the k-th found, on the lifted sphere
-                far = max(0.0, 2 * self.reach - 2 * worst * np.sqrt(self.reach) / length)
-                if floor[visit[at]] > self.ratio * far:
-                    break
+            if floor[visit[at]] > self.ratio * far:
+                break
             own = np.concatenate([tree.order[a:b] for a, b in tree.bounds[visit[at : at + STEP]]])
-            own_scores = (self.vectors[own] * query).sum(1)
+            own_scores = self.vectors[own] @ query
             points.append(own)
             scores.append(own_scores)
-            found += len(own)
-            if found > k:
-                every = np.concatenate(scores)
-                worst = float(np.partition(every, len(every) - k - 1)[len(every) - k - 1])
+            top = np.concatenate([top, own_scores])
+            if len(top) > k:
+                # the query itself may be among the k + 1; squared distance of the last, on the lifted sphere
+                top = np.partition(top, len(top) - k - 1)[len(top) - k - 1 :]
+                far = max(0.0, 2 * self.reach - 2 * float(top.min()) * np.sqrt(self.reach) / length)
         every, own = np.concatenate(scores), np.concatenate(points)
-        if len(every) > k + 1:
-            # all that tie with the (k + 1)-th stay: one may be the query itself
-            least = np.partition(every, len(every) - k - 1)[len(every) - k - 1]
-            every, own = every[every >= least], own[every >= least]
+        if len(top) > k:
+            own = own[every >= top.min() - 1e-9 * length * np.sqrt(self.reach)]
+        every = (self.vectors[own] * query).sum(1)
         best: list[tuple[float, int]] = []
         for score, point in zip(every.tolist(), own.tolist(), strict=True):
             ids = self.ids[self.begins[point] : min(self.begins[point + 1], self.begins[point] + k + 1)]
