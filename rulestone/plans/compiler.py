@@ -638,6 +638,8 @@ class Compiler(Queries):
             flags = F.transform(as_list(v), lambda e: among(Val(e, element(v))))
             every, some = ~F.exists(flags, lambda k: ~k), F.exists(flags, lambda k: k)
             size = F.size(as_list(v))
+        if right_list is False:
+            return choose([(v_list, F.lit(FAIL))], held)
         subset = F.when(every, FAIL).when(some, FAIL).otherwise(PASS) if negated else F.when(every, PASS).otherwise(FAIL)
         whole = F.when(among(v), FAIL).when(size == 0, PASS).otherwise(FAIL) if negated else F.when(among(v), PASS).otherwise(FAIL)
         if isinstance(right, Literal):
@@ -676,17 +678,25 @@ class Compiler(Queries):
             self.each(right, lambda v: self.contained(lit, v, negated), lit, found)
             return
         resolved = F.filter(own.array, lambda e: e["k"] == RESOLVED)
+        if isinstance(lists, Column):
+            lists = None
         any_list = F.exists(resolved, lambda e: F.lit(lists) if isinstance(lists, bool) else F.coalesce(is_kind(Val(e["v"], own.type), "list"), F.lit(False)))
         kept = [F.exists(resolved, lambda e: same(x, Val(e["v"], own.type))) for x in lit.value]
-        every, some = F.lit(True), F.lit(False)
+        every = F.lit(True)
         for k in kept:
-            every, some = every & k, some | k
+            every = every & k
         # under negation the literal as a whole counts as what is left over, unless nothing is
         whole = F.lit(FAIL) if negated else F.when(every, PASS).otherwise(FAIL)
-        del some
-        one_by_one = F.transform(own.array, lambda e: self.outcome(F.when(e["k"] == RESOLVED, self.contained(lit, Val(e["v"], own.type), negated)).otherwise(FAIL), lit))
         lost = F.transform(F.filter(own.array, lambda e: e["k"] != RESOLVED), lambda e: self.outcome(FAIL, lit))
-        found.arrays.append(F.when(any_list, one_by_one).otherwise(F.concat(lost, F.array(self.outcome(whole, lit)))))
+        at_once = F.concat(lost, F.array(self.outcome(whole, lit)))
+        if lists is False:
+            found.arrays.append(at_once)
+            return
+
+        def one(e: Column) -> Column:
+            return self.outcome(F.when(e["k"] == RESOLVED, self.contained(lit, Val(e["v"], own.type), negated)).otherwise(FAIL), lit)
+
+        found.arrays.append(F.when(any_list, F.transform(own.array, one)).otherwise(at_once))
 
     def as_sets(self, op: str, left: list[Piece], right: list[Piece], negated: bool, found: Outcomes) -> None:
         """Two queries: one status for all values, and a failure for each that is unresolved."""
