@@ -12,11 +12,13 @@ from collections.abc import Callable
 
 _LOOSE = re.compile(r" (?:\s|\Z)")
 _LOOSE_LINE = re.compile(r"\n(?:(?<=\s\n)|\s|\Z)")
+#: Letters or digits and then signs alone: a new piece begins between them.
+_TAILED = re.compile(r"([^\W_]+)([^\w\s]+)")
 _SPACE = re.compile(r" (?=\S)")
 
 #: Longer segments are encoded anew each time. A memory that holds so many segments becomes the older one and a new one
 #: is begun; what is found in the older one comes over, so segments that recur stay and the others go.
-LONGEST, MOST = 64, 600_000
+LONGEST, MOST = 64, 400_000
 
 
 class SegmentMemory(dict):
@@ -25,8 +27,11 @@ class SegmentMemory(dict):
     def __init__(self, encode: Callable[[str], bytes], lead: str):
         super().__init__()
         self.encode, self.lead, self.older = encode, lead, {}
+        self.tails = self if not lead else SegmentMemory(encode, "")
 
     def __missing__(self, segment: str) -> bytes:
+        if tailed := _TAILED.fullmatch(segment):
+            return self[tailed[1]] + self.tails[tailed[2]]
         if (ids := self.older.get(segment)) is None:
             ids = self.encode(self.lead + segment)
             if len(segment) > LONGEST:
