@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
+from .packing import id_lists
 from .segments import SegmentEncoder
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -193,11 +194,11 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) ->
                 hashes.append(hashlib.sha256(ids).hexdigest())
                 decoded.append(hashlib.sha256(own.decode(ids)).hexdigest())
                 if with_ids:
-                    lists.append(struct.unpack(f"<{len(ids) // 4}I", ids))
+                    lists.append(ids)
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns.append(pa.array(lists, pa.list_(pa.int32())))
+                columns.append(id_lists(counts, b"".join(lists)))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
