@@ -40,6 +40,8 @@ SAMPLE = 10_000
 #: Lower bound of a proportion: standard deviations below.
 SURE = 1.64
 THRESHOLD = 0.7
+#: Tokens whose weights a worker remembers.
+REMEMBERED = 150_000
 #: Most features that chance alone may have made, as a share.
 FALSE = 0.25
 #: Lower bound of the share of toxic documents from which on a feature is sure.
@@ -151,7 +153,6 @@ class Restorer:
 
     def __init__(self, model: LanguageModel):
         self.model = model
-        self.known: dict[str, tuple[str, ...]] = {}
 
     def restore(self, token: str) -> list[str]:
         """The words that a token may be, in lower case and without signs at its ends: as written and as decoded."""
@@ -166,13 +167,7 @@ class Restorer:
         return [r for r in readings if r]
 
     def features(self, token: str) -> tuple[str, ...]:
-        found = self.known.get(token)
-        if found is None:
-            found = tuple(dict.fromkeys(f for word in self.restore(token) for f in (word, *(f"{word[:n]}-" for n in STEMS if len(word) > n))))
-            if len(self.known) >= 100_000:
-                self.known.clear()
-            self.known[token] = found
-        return found
+        return tuple(dict.fromkeys(f for word in self.restore(token) for f in (word, *(f"{word[:n]}-" for n in STEMS if len(word) > n))))
 
     def tokens(self, text: str) -> set[str]:
         """Tokens, and letters that stand spaced out put together."""
@@ -207,7 +202,7 @@ class Scorer:
         found = self.by_token.get(token)
         if found is None:
             found = max((self.weights.get(f, 0.0) for f in self.restorer.features(token)), default=0.0)
-            if len(self.by_token) >= 600_000:
+            if len(self.by_token) >= REMEMBERED:
                 self.by_token.clear()
             self.by_token[token] = found
         return found
