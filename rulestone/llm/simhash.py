@@ -1,10 +1,10 @@
 """SimHash near-duplicates by a self-join of binary tries.
 
 A fingerprint is the bitwise majority of the hashes of a document's word shingles. Fingerprints within an error budget
-are found in tries over permuted bits: the bits are cut into budget + 2 blocks, of which at least two are the same in any
-two fingerprints to be linked, so there is one trie for each pair of blocks, with these blocks' bits on top. Below each
-such top, which is where the work is dealt out, pairs of nodes are walked together, differing bits are added up, and a
-pair is left when they exceed the budget.
+are found in tries over permuted bits: the bits are cut into budget + m blocks, of which at least m are the same in any
+two fingerprints to be linked, so there is one trie for each choice of m blocks, with these blocks' bits on top. Below
+each such top, which is where the work is dealt out, pairs of nodes are walked together, differing bits are added up, and
+a pair is left when they exceed the budget. Every m finds all links; m is the least that keeps tops small.
 """
 
 from __future__ import annotations
@@ -22,8 +22,10 @@ from .common import checkpoint, text_or_empty
 from .components import components
 
 BUDGET, SHINGLE = 4, 4
-#: A trie top with more fingerprints is dealt out as pairs of chunks of this size.
-CHUNK = 2048
+#: For a similarity of about 0.8 of sets of five-word shingles, at which half of all pairs differ in 8 bits or fewer.
+BUDGET_AT_08, SHINGLE_AT_08 = 8, 5
+#: A trie top holds so many fingerprints on average at most; one with more than CHUNK is dealt out as pairs of chunks.
+FEW, CHUNK = 4096, 8192
 #: Nodes with so few fingerprints are compared as a block.
 LEAF = 96
 #: Tables of at most so many rows are broadcast; others are joined by a shuffle.
@@ -58,11 +60,19 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def masks(budget: int) -> list[int]:
+def blocks_on_top(n: int, budget: int, few: int = FEW) -> int:
+    """The least number of blocks whose bits leave few fingerprints below each top."""
+    m = 1
+    while m < 64 - budget and n / 2 ** (64 * m / (budget + m)) > few:
+        m += 1
+    return m
+
+
+def masks(budget: int, m: int) -> list[int]:
     """Signed 64-bit masks of the bits on top of each trie."""
-    bounds = [64 * i // (budget + 2) for i in range(budget + 3)]
+    bounds = [64 * i // (budget + m) for i in range(budget + m + 1)]
     blocks = [(1 << hi) - (1 << lo) for lo, hi in zip(bounds, bounds[1:], strict=False)]
-    return [m - (1 << 64) if m >> 63 else m for m in (a | b for a, b in combinations(blocks, 2))]
+    return [x - (1 << 64) if x >> 63 else x for x in map(sum, combinations(blocks, m))]
 
 
 class _Union:
@@ -162,10 +172,11 @@ def _link_groups(budget: int):
     return run
 
 
-def links(distinct: DataFrame, budget: int = BUDGET, chunk: int = CHUNK) -> DataFrame:
+def links(distinct: DataFrame, budget: int = BUDGET, chunk: int = CHUNK, few: int = FEW) -> DataFrame:
     """distinct: fp, node (longs, each once). Returns a, b: links between nodes that connect exactly those that a chain
     of fingerprints with at most budget differing bits connects (a spanning set, not all pairs)."""
-    tops = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks(budget))]))
+    on_top = masks(budget, blocks_on_top(distinct.count(), budget, few))
+    tops = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(on_top)]))
     rows = distinct.select(tops.alias("top"), "fp", "node")
     large = checkpoint(rows.groupBy("top").count().filter(F.col("count") > chunk).withColumnRenamed("top", "large"))
     large = F.broadcast(large) if large.count() <= SMALL_ROWS else large
@@ -206,7 +217,7 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGL
     return own.join(named, F.col("fp") == F.col("of"), "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE) -> DataFrame:
+def keep_one(docs: DataFrame, budget: int = BUDGET_AT_08, shingle: int = SHINGLE_AT_08) -> DataFrame:
     """docs with one document of each component, the one with its smallest doc_id; columns as given. Rows without a
     doc_id stay only where no other row has their fingerprint; rows that repeat a kept doc_id are dropped."""
     found = near_duplicates(docs, budget, shingle)

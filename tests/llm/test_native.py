@@ -184,8 +184,8 @@ def plain_components(ids, prints, budget):
     return {own: least[root(i)] for i, own in enumerate(ids)}
 
 
-@pytest.mark.parametrize("chunk", [2048, 16])
-def test_trie_links_and_components(spark, chunk):
+@pytest.mark.parametrize(("chunk", "few", "budget"), [(8192, 4096, 4), (16, 4096, 4), (8192, 2, 4), (64, 1, 8), (8192, 4096, 8)])
+def test_trie_links_and_components(spark, chunk, few, budget):
     pick = random.Random(4)
     prints = [pick.getrandbits(64) for _ in range(60)]
     for _ in range(500):
@@ -197,8 +197,8 @@ def test_trie_links_and_components(spark, chunk):
     ids = pick.sample(range(10_000), len(prints))
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     distinct = spark.createDataFrame(list(zip(signed, ids, strict=True)), "fp long, node long")
-    found = {r.node: r.component for r in simhash.components(simhash.links(distinct, 4, chunk)).collect()}
-    want = plain_components(ids, prints, 4)
+    found = {r.node: r.component for r in simhash.components(simhash.links(distinct, budget, chunk, few)).collect()}
+    want = plain_components(ids, prints, budget)
     assert {i: found.get(i, i) for i in ids} == want
 
 
