@@ -381,7 +381,10 @@ class Queries:
                     found += self.guarded(g, lambda x: self.steps(parts, then, x, scope, spelling))
                 else:
                     found += each_of(g, lambda x: self.steps(parts, then, x, Scope(scope.root, scope, in_lambda=True), spelling), self.detail)
-        return found
+        if (there := is_kind(v, "map")) is True or not found:
+            return found
+        own = many(found)
+        return [Many(F.when(there, own.array).otherwise(F.array(entry(UNRESOLVED, nothing(own.type), v.path))), own.type)]
 
     # -- all elements
 
