@@ -218,12 +218,10 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGL
 
 
 def keep_one(docs: DataFrame, budget: int = BUDGET_AT_08, shingle: int = SHINGLE_AT_08) -> DataFrame:
-    """docs with one document of each component, the one with its smallest doc_id; columns as given. Rows without a
-    doc_id stay only where no other row has their fingerprint; rows that repeat a kept doc_id are dropped."""
+    """docs with one document of each component, the one with its smallest doc_id; columns as given. Rows that repeat a
+    kept doc_id are dropped; of rows without a doc_id, which no link can name, one of each text stays."""
     found = near_duplicates(docs, budget, shingle)
     stay = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("stay_id")).distinct()
     kept = docs.join(stay, docs["doc_id"] == stay["stay_id"], "left_semi").dropDuplicates(["doc_id"])
-    alone = found.filter(F.col("component_id").isNull()).groupBy("fp").agg(F.count("*").alias("n"))
-    if alone.limit(1).count():
-        kept = kept.unionByName(docs.filter(F.col("doc_id").isNull()).dropDuplicates(["text"]))
-    return kept
+    nameless = docs.filter(F.col("doc_id").isNull())
+    return kept.unionByName(nameless.dropDuplicates(["text"])) if nameless.limit(1).count() else kept
