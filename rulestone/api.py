@@ -11,6 +11,7 @@ from .operators.evaluate import (
     EXIT_FAILED,
     EXIT_OK,
     checks,
+    clause_statuses,
     evaluate,
     exit_code,
     merge_reports,
@@ -57,7 +58,7 @@ def validate_files(spark: SparkSession, data: str | list[str], rules: str | list
 
 
 __all__ = [
-    "EXIT_ERROR", "EXIT_FAILED", "EXIT_OK", "RuleError", "RuleFile", "RuleSyntaxError", "UnsupportedRuleError", "checks", "console", "evaluate",
+    "EXIT_ERROR", "EXIT_FAILED", "EXIT_OK", "RuleError", "RuleFile", "RuleSyntaxError", "UnsupportedRuleError", "checks", "clause_statuses", "console", "evaluate",
     "exit_code", "generate_rules", "load_documents", "merge_reports", "parse_rules", "parse_tree", "read_payload", "read_rules", "read_specs", "reports",
     "results", "roll_up", "run_tests", "scan_documents", "structured", "tallies", "test_exit_code", "test_text", "texts_of", "validate_files",
     "validate_text", "with_parameters",

@@ -49,13 +49,17 @@ class Evaluated:
         return F.lit(SKIP) if not columns else columns[0] if len(columns) == 1 else F.greatest(*columns)
 
 
+def document_of(docs: DataFrame, document: str | None, detail: bool) -> Val:
+    """The row itself or its VARIANT column; with paths in detail mode."""
+    path = F.lit("") if detail else None
+    if document is not None:
+        return Val(F.col(document), VARIANT, path, nullable=False)
+    return Val(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), T.StructType(docs.schema.fields), path, nullable=False)
+
+
 def compile_rules(docs: DataFrame, rules: Rules, document: str | None = None, *, detail: bool = False, compat: bool = True) -> Evaluated:
     """document: name of a VARIANT column; None for the row itself."""
-    if document is None:
-        path = F.lit("") if detail else None
-        root = Val(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), T.StructType(docs.schema.fields), path, nullable=False)
-    else:
-        root = Val(F.col(document), VARIANT, F.lit("") if detail else None, nullable=False)
+    root = document_of(docs, document, detail)
     names: dict[str, tuple[str, str | None]] = {}
     frame = docs
     for i, file in enumerate(rule_files(rules)):
@@ -69,6 +73,18 @@ def compile_rules(docs: DataFrame, rules: Rules, document: str | None = None, *,
     return Evaluated(frame, names)
 
 
+def clause_statuses(docs: DataFrame, rules: Rules, keep: list[str], document: str | None = None, *, compat: bool = True) -> DataFrame:
+    """One row per clause of each rule, conditions included: keep, rule, seq, clause, status; the walk through a document."""
+    frame, found = docs, []
+    for i, file in enumerate(rule_files(rules)):
+        compiler = Compiler(file, False, compat, trace=True)
+        frame, _ = compiler.plan(frame, document_of(docs, document, False))
+        renamed = {c: f"__file_{i}{c}" for c in frame.columns if c not in docs.columns and not c.startswith("__file_")}
+        frame = frame.withColumnsRenamed(renamed)
+        found += [F.transform(F.col(renamed[c]), lambda x, k: F.struct(F.lit(rule).alias("rule"), k.alias("seq"), x.alias("c"))) for rule, c in compiler.traces]
+    return frame.select(*keep, F.explode(F.concat(*found)).alias("__each")).select(*keep, "__each.rule", "__each.seq", "__each.c.*")
+
+
 def evaluate(docs: DataFrame, rules: Rules, keep: list[str], document: str | None = None, *, strict: bool = False, compat: bool = True) -> DataFrame:
     """One row per document: keep, and a column of statuses (PASS, FAIL, SKIP, ERROR) for each rule. strict: an ERROR ends
     the job instead."""

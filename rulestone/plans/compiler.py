@@ -88,9 +88,10 @@ class Outcomes:
 
 
 class Compiler(Queries):
-    def __init__(self, rules: RuleFile, detail: bool = False, compat: bool = True):
+    def __init__(self, rules: RuleFile, detail: bool = False, compat: bool = True, trace: bool = False):
         super().__init__(detail, compat)
-        self.rules = rules
+        self.rules, self.trace = rules, trace
+        self.traces: list[tuple[str, str]] = []
         self.layers: list[tuple[str, Column]] = []
         self.calls: list[str] = []
         self.references: dict[str, Column] = {}
@@ -133,6 +134,9 @@ class Compiler(Queries):
             if node.checks is not None:
                 checks = f"{name}_checks"
                 self.layers.append((checks, F.when(F.col(name) >= FAIL, node.checks).otherwise(F.array().cast(f"array<{CHECK}>"))))
+            if self.trace:
+                self.layers.append((f"{name}_trace", self.traced(rule, Scope(top.root, top))))
+                self.traces.append((rule.name, f"{name}_trace"))
             columns[id(rule)] = (name, checks)
             return columns[id(rule)]
 
@@ -155,6 +159,28 @@ class Compiler(Queries):
             df = df.withColumn(name, column)
         return df, out
 
+    def traced(self, rule: Rule, scope: Scope) -> Column:
+        """clause and status of each clause of a rule, conditions first; clauses behind a condition that doesn't PASS are
+        SKIP. All alternatives are evaluated, those behind a PASS too."""
+        inner = Scope(scope.root, scope, {let.name: let.value for let in rule.block.lets})
+        conditions = [("when " + self.text_of(x), self.item(x, scope).status) for d in rule.conditions or [] for x in d]
+        holds = F.lit(PASS) if rule.conditions is None else self.conjunction(rule.conditions, scope).status
+        body = [(self.text_of(x), F.when(holds == PASS, self.item(x, inner).status).otherwise(SKIP)) for d in rule.block.clauses for x in d]
+        return F.array(*[F.struct(F.lit(t).alias("clause"), status_text(c).alias("status")) for t, c in [*conditions, *body]])
+
+    @staticmethod
+    def text_of(item: Any) -> str:
+        if isinstance(item, Access):
+            return item.text
+        if isinstance(item, QueryBlock):
+            return f"{item.query.text} {{ ... }}"
+        if isinstance(item, TypeBlock):
+            return f"{item.type_name} {{ ... }}"
+        if isinstance(item, WhenBlock):
+            return "when ... { ... }"
+        called = f"{item.name}(...)" if isinstance(item, RuleCall) else item.name
+        return f"not {called}" if item.inverse else called
+
     # -- rules and blocks
 
     def rule(self, rule: Rule, scope: Scope) -> Node:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators.evaluate import checks, evaluate, merge_reports, reports, results, roll_up, tallies
+from .operators.evaluate import checks, clause_statuses, evaluate, merge_reports, reports, results, roll_up, tallies
 from .operators.reports import by_resource, failed_with_names, sarif_results, summary
 from .operators.rulegen import clauses, distinct_values, generated
 from .operators.testing import run_tests
@@ -306,6 +306,17 @@ def k2_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results(table(spark, sf_dir, "orders"), GRADES, ["o_orderkey"])
 
 
+@add(
+    "k10_clause_statuses",
+    """SELECT o_orderkey, 'price' AS rule, 0 AS seq, 'o_totalprice < 150000.0' AS clause, CASE WHEN o_totalprice < 150000 THEN 'PASS' ELSE 'FAIL' END AS status FROM orders
+    UNION ALL SELECT o_orderkey, 'open', 0, 'when o_orderstatus == ''O''', CASE WHEN o_orderstatus = 'O' THEN 'PASS' ELSE 'FAIL' END FROM orders
+    UNION ALL SELECT o_orderkey, 'open', 1, 'o_orderpriority != ''1-URGENT''',
+    CASE WHEN o_orderstatus <> 'O' THEN 'SKIP' WHEN o_orderpriority <> '1-URGENT' THEN 'PASS' ELSE 'FAIL' END FROM orders""",
+)
+def k10_clause_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clause_statuses(table(spark, sf_dir, "orders"), GRADES, ["o_orderkey"])
+
+
 @add("k6_summary", f"SELECT o_orderkey, rule, status FROM {LONG} WHERE status IN ('PASS', 'FAIL')")
 def k6_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(table(spark, sf_dir, "orders"), GRADES, "o_orderkey", show=("pass", "fail"))
