@@ -87,8 +87,10 @@ class Loader:
             raise DocumentError("blank document")
         if yaml is None:
             return self.numbers(json.loads(text))
+        # the C parser keeps no text behind marks, by which tags that the text names itself are told
+        kind = yaml.SafeLoader if "!!" in text else getattr(yaml, "CSafeLoader", yaml.SafeLoader)
         try:
-            events = yaml.compose_all(text, Loader=yaml.SafeLoader) if not self.located else self.first(text)
+            events = yaml.compose_all(text, Loader=kind) if not self.located else self.first(text, kind)
             node = next(iter(events), None)
         except yaml.YAMLError as e:
             raise DocumentError(str(e).replace("\n", " ")) from None
@@ -97,13 +99,13 @@ class Loader:
         return self.value(node, "", set())
 
     @staticmethod
-    def first(text: str) -> list[Any]:
-        for event in yaml.parse(text, Loader=yaml.SafeLoader):
+    def first(text: str, kind: Any) -> list[Any]:
+        for event in yaml.parse(text, Loader=kind) if "*" in text else ():
             if isinstance(event, yaml.AliasEvent):
                 raise DocumentError(f"alias *{event.anchor} at line {event.start_mark.line + 1}")
             if isinstance(event, yaml.DocumentEndEvent):
                 break
-        return [next(yaml.compose_all(text, Loader=yaml.SafeLoader), None)]
+        return [next(yaml.compose_all(text, Loader=kind), None)]
 
     def numbers(self, value: Any) -> Any:
         if isinstance(value, dict):
@@ -130,7 +132,7 @@ class Loader:
         for key, x in node.value:
             if not isinstance(key, yaml.ScalarNode):
                 raise DocumentError(f"key is no string at line {key.start_mark.line + 1}")
-            if key.style is None and not isinstance(scalar_located(key.value) if self.located else scalar_plain(key.value), str):
+            if not key.style and not isinstance(scalar_located(key.value) if self.located else scalar_plain(key.value), str):
                 raise DocumentError(f"key {key.value} is no string at line {key.start_mark.line + 1}")
             found[key.value] = self.value(x, f"{path}/{key.value}", inner)
         if tag and not self.located and tag in LONG_FORM:
@@ -139,10 +141,10 @@ class Loader:
 
     def scalar(self, node: Any) -> Any:
         core = node.tag.removeprefix("tag:yaml.org,2002:")
-        if node.style is not None or node.tag.startswith("!"):
-            return node.value if core not in ("int", "float", "bool", "null") or node.style is not None and not self.explicit(node) else self.typed(core, node.value)
         if self.explicit(node):
             return self.typed(core, node.value)
+        if node.style or node.tag.startswith("!"):  # plain scalars have no style
+            return node.value
         return scalar_located(node.value) if self.located else scalar_plain(node.value)
 
     @staticmethod
