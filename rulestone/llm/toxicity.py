@@ -15,7 +15,6 @@ from dataclasses import dataclass, field
 from math import exp, lgamma, log, sqrt
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -314,9 +313,10 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
     on, but for one named toxicity; the score looks at the text alone. One pass over the texts without a shuffle."""
     model = docs.sparkSession.sparkContext.broadcast(scorer)
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.value.score(t) for t in texts], dtype="float64")
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        own = model.value
+        return pa.array([own.score(t.as_py()) for t in texts], pa.float64())
 
     return docs.withColumn("toxicity", scored(text_or_empty()))
 
