@@ -9,13 +9,13 @@ a pair is left when they exceed the budget. Every m finds all links; m is the le
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, text_or_empty
@@ -28,6 +28,10 @@ BUDGET_AT_08, SHINGLE_AT_08 = 8, 5
 FEW, CHUNK = 4096, 8192
 #: Nodes with so few fingerprints are compared as a block.
 LEAF = 96
+#: Texts that are compared at once at most, when candidates are verified; larger groups are dealt out as pairs of chunks.
+TEXTS = 512
+#: Least Jaccard similarity of near copies: numerator and denominator.
+SIMILAR = (4, 5)
 #: Tables of at most so many rows are broadcast; others are joined by a shuffle.
 SMALL_ROWS = 100_000
 
@@ -49,6 +53,21 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def shingles(words: list[bytes], shingle: int) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's shingles, sorted; words as fingerprint() takes them."""
+    found = {xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(max(1, len(words) - shingle + 1))}
+    return np.sort(np.fromiter(found if words else (), np.uint64))
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two sets of shingles reaches SIMILAR; two empty sets are alike."""
+    up, down = SIMILAR
+    if down * min(len(a), len(b)) < up * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return down * both >= up * (len(a) + len(b) - both)
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (long with the fingerprint's bits). A null text is an empty one."""
 
@@ -104,10 +123,11 @@ class _Union:
             self.label = to[self.label]
 
 
-def trie_links(values: np.ndarray, budget: int) -> np.ndarray:
-    """values: distinct unsigned fingerprints, sorted. Returns for each the index of the least one of its component
-    under links of at most budget differing bits, by walking pairs of trie nodes (ranges of values with a common
-    prefix). A pair whose fingerprints are all of one component already is left as well."""
+def trie_links(values: np.ndarray, budget: int, same: Callable[[int, int], bool] | None = None) -> np.ndarray:
+    """values: unsigned fingerprints, sorted. Returns for each the index of the least one of its component under links of
+    at most budget differing bits, by walking pairs of trie nodes (ranges of values with a common prefix). A pair whose
+    fingerprints are all of one component already is left as well. With same, pairs of indices that it denies are no
+    links."""
     own = _Union(len(values))
 
     def cut(lo: int, hi: int, bit: int) -> int:
@@ -127,7 +147,12 @@ def trie_links(values: np.ndarray, budget: int) -> np.ndarray:
         if bit < 0 or max(a[1] - a[0], b[1] - b[0]) <= LEAF:
             near = np.bitwise_count(values[a[0] : a[1], None] ^ values[None, b[0] : b[1]]) <= budget
             left, right = np.nonzero(near)
-            own.join(left + a[0], right + b[0])
+            if same is None:
+                own.join(left + a[0], right + b[0])
+                continue
+            for x, y in zip((left + a[0]).tolist(), (right + b[0]).tolist(), strict=True):
+                if (a != b or x < y) and own.label[x] != own.label[y] and same(x, y):
+                    own.join(np.array([x]), np.array([y]))
             continue
         ma, mb = cut(*a, bit), cut(*b, bit)
         a0, a1, b0, b1 = (a[0], ma), (ma, a[1]), (b[0], mb), (mb, b[1])
@@ -217,11 +242,109 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGL
     return own.join(named, F.col("fp") == F.col("of"), "left").select("doc_id", "fp", "component_id")
 
 
+def _texts(docs: DataFrame, shingle: int) -> DataFrame:
+    """Distinct texts (as words, case aside) with an identity of their own: node, fp and first, the
+    first row of the text by doc_id (rows without one come last) and text hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.as_py() for t in batch.column(3)]
+            words = [b" ".join(t.encode().lower().split()) for t in texts]
+            keys = np.array([(d >> 64, d & (1 << 64) - 1) for d in map(xxhash.xxh3_128_intdigest, words)], np.uint64).reshape(-1, 2)
+            found = np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts))
+            columns = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (keys[:, 0], keys[:, 1], found)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["doc_id", "h1", "h2", "k1", "k2", "fp"])
+
+    rows = docs.select(*_row(), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, h1 long, h2 long, k1 long, k2 long, fp long")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "h1", "h2")).alias("first")
+    distinct = rows.groupBy("k1", "k2").agg(F.min("fp").alias("fp"), first)
+    return checkpoint(distinct.select(F.monotonically_increasing_id().alias("node"), "fp", "first"))
+
+
+def _row() -> list[Column]:
+    """What a row is named by: its id and text."""
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("h1"), F.xxhash64(F.lit(7), text_or_empty()).alias("h2")]
+
+
+def _rows_of(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """docs joined with named (first and more): the rows that first names. Columns of named come as _first and so on."""
+    named = named.select(*[F.col(c).alias(f"_{c}") for c in named.columns])
+    named = F.broadcast(named) if named.count() <= SMALL_ROWS else named
+    doc_id, h1, h2 = _row()
+    return docs.join(named, (h1 == F.col("_first.h1")) & (h2 == F.col("_first.h2")) & doc_id.eqNullSafe(F.col("_first.doc_id")))
+
+
+def _verify_groups(budget: int, shingle: int):
+    def flush(prints: list[int], nodes: list[int], texts: list[str]) -> Iterator[tuple[int, int]]:
+        order = sorted(dict(zip(nodes, range(len(nodes)), strict=True)).values(), key=lambda i: (prints[i], nodes[i]))
+        known: dict[int, np.ndarray] = {}
+
+        def of(i: int) -> np.ndarray:
+            if i not in known:
+                known[i] = shingles(texts[order[i]].encode().lower().split(), shingle)
+            return known[i]
+
+        values = np.array([prints[i] for i in order], np.uint64)
+        for i, j in enumerate(trie_links(values, budget, lambda x, y: alike(of(x), of(y))).tolist()):
+            if i != j:
+                yield nodes[order[i]], nodes[order[j]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, ([], [], [])
+
+        def done() -> pa.RecordBatch:
+            found = list(flush(*held))
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for at, fp, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != group and held[0]:
+                    yield done()
+                    held = ([], [], [])
+                group = at
+                for column, value in zip(held, (fp & (1 << 64) - 1, node, text), strict=True):
+                    column.append(value)
+        if held[0]:
+            yield done()
+
+    return run
+
+
+def verified_links(docs: DataFrame, texts: DataFrame, budget: int, shingle: int, chunk: int = TEXTS) -> DataFrame:
+    """texts: of _texts(). Returns a, b: links that connect exactly those nodes that a chain of texts connects whose
+    neighbours differ in at most budget bits and are alike(). What chains of bits alone connect is only where links can
+    be; each such group's texts are compared, in all pairs of its chunks if it is large."""
+    distinct = checkpoint(texts.groupBy("fp").agg(F.min("node").alias("node")))
+    found = components(links(distinct, budget))
+    groups = texts.join(distinct.select(F.col("fp").alias("of"), F.col("node").alias("at")), F.col("fp") == F.col("of")).join(
+        found.withColumnRenamed("node", "linked"), F.col("at") == F.col("linked"), "left"
+    )
+    groups = checkpoint(groups.select("node", "fp", "first", F.coalesce("component", "at").alias("group")))
+    sizes = checkpoint(groups.groupBy("group").count().filter(F.col("count") > 1).withColumnRenamed("group", "sized"))
+    sizes = F.broadcast(sizes) if sizes.count() <= SMALL_ROWS else sizes
+    parts = F.ceil(F.col("count") / chunk).cast("int")
+    suspects = checkpoint(groups.join(sizes, F.col("group") == F.col("sized")).select("node", "fp", "first", "group", parts.alias("parts")))
+    read = _rows_of(docs, suspects).select("_node", "_fp", "_group", "_parts", text_or_empty().alias("text"))
+    own = F.pmod(F.xxhash64("_node"), F.col("_parts")).cast("int")
+    read = read.dropDuplicates(["_node"])  # rows may repeat
+    dealt = read.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    top = F.struct("_group", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).alias("top")
+    dealt = dealt.select(top, "_fp", "_node", "text").repartition("top").sortWithinPartitions("top")
+    flat = dealt.select(F.concat_ws("/", "top._group", "top.low", "top.high").alias("top"), "_fp", "_node", "text")
+    return flat.mapInArrow(_verify_groups(budget, shingle), "a long, b long")
+
+
 def keep_one(docs: DataFrame, budget: int = BUDGET_AT_08, shingle: int = SHINGLE_AT_08) -> DataFrame:
-    """docs with one document of each component, the one with its smallest doc_id; columns as given. Rows that repeat a
-    kept doc_id are dropped; of rows without a doc_id, which no link can name, one of each text stays."""
-    found = near_duplicates(docs, budget, shingle)
-    stay = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("stay_id")).distinct()
-    kept = docs.join(stay, docs["doc_id"] == stay["stay_id"], "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.filter(F.col("doc_id").isNull())
-    return kept.unionByName(nameless.dropDuplicates(["text"])) if nameless.limit(1).count() else kept
+    """docs with one row of each component of near copies, the first by doc_id and then text hash; columns as given.
+
+    Near copies are texts whose fingerprints differ in at most budget bits and whose sets of shingles have a Jaccard
+    similarity of at least SIMILAR; texts with the same words are copies, and so are all texts without words. Rows are
+    told apart by id and text, so those that share a doc_id but not the text have links of their own; rows without a
+    doc_id come after those with one."""
+    texts = _texts(docs, shingle)
+    found = components(verified_links(docs, texts, budget, shingle))
+    named = texts.join(found.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left")
+    stay = checkpoint(named.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first")).select("first"))
+    doc_id, h1, h2 = _row()
+    kept = _rows_of(docs, stay).withColumns({"_h1": h1, "_h2": h2}).dropDuplicates(["doc_id", "_h1", "_h2"])
+    return kept.select(*docs.columns)

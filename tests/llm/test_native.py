@@ -212,3 +212,46 @@ def test_near_duplicates(spark):
     assert kept.columns == table(spark, []).columns
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 3, 5, 8]
     assert simhash.near_duplicates(table(spark, [])).count() == 0
+
+
+def _jaccard(a, b):
+    own = [set(zip(*(w[k:] for k in range(5)), strict=False)) for w in (a, b)]
+    return len(own[0] & own[1]) / len(own[0] | own[1])
+
+
+def test_candidates_are_verified(spark):
+    """Within the bit budget by construction: a budget of 64 makes all texts candidates."""
+    pick = random.Random(8)
+    base = [[f"w{pick.randrange(10_000)}" for _ in range(80)] for _ in range(4)]
+    texts = []
+    for words in base:
+        for n in (0, 1, 2, 6):
+            copy = list(words)
+            for at in pick.sample(range(80), n):
+                copy[at] = f"v{pick.randrange(10_000)}"
+            texts.append(copy)
+    want = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if _jaccard(texts[i], texts[j]) >= 0.8:
+                want = [min(want[i], want[j]) if x in (want[i], want[j]) else x for x in want]
+    rows = [(i, " ".join(t), None, None, None) for i, t in enumerate(texts)]
+    docs = table(spark, rows)
+    for chunk in (4, 512):
+        own = simhash._texts(docs, 5)
+        ids = {r.node: r.first.doc_id for r in own.collect()}
+        found = simhash.components(simhash.verified_links(docs, own, 64, 5, chunk)).collect()
+        sets = {}
+        for r in found:
+            sets.setdefault(r.component, set()).add(ids[r.node])
+        assert sorted(map(sorted, sets.values())) == sorted(g for k in set(want) if len(g := [i for i, x in enumerate(want) if x == k]) > 1)
+    assert sorted(r.doc_id for r in simhash.keep_one(docs, 64).collect()) == sorted(set(want))
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    """The copy of another document goes, the id's unique text stays, and neighbours of the two aren't merged."""
+    pick = random.Random(9)
+    a, b, c = (" ".join(f"w{pick.randrange(10_000)}" for _ in range(60)) for _ in range(3))
+    rows = [(1, a, None, None, None), (2, a, None, None, None), (2, b, None, None, None), (3, b + " ", None, None, None), (2, c, None, None, None), (None, c, None, None, None)]
+    kept = simhash.keep_one(table(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, a), (2, b), (2, c)])
