@@ -32,6 +32,8 @@ FILLER = ".-_*~'`,:;·•^=/\\%&#?!$@+|()[]{}<>\""
 #: Natural logarithms of the channel's chances: a stand-in for a letter, a sign meant as nothing, one that could be a
 #: stand-in, a letter of a run dropped.
 STAND_IN, DROPPED_SIGN, DROPPED_STAND_IN, DROPPED_REPEAT = -1.5, -0.7, -2.5, -0.7
+#: Of an edge of a word between letters that stand spaced out, as readers may set it; the words of all are taken.
+EDGES = (0.0, -2.0, -4.0)
 #: Prefixes of words that are features, by length; a word itself is one too.
 STEMS = (4, 5, 6)
 #: Most labelled documents that the scorer is fitted on: those of least hash of doc_id. The language model takes all.
@@ -48,7 +50,17 @@ SURELY = 0.93
 #: Odd factors that make four orders of one hash.
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
-_SPACED = re.compile(r"(?<!\S)[^\W_](?:[ ._*\-][^\W_]){2,}(?!\S)")
+#: Three or more letters, digits or stand-ins (or runs of one) with white space or signs between any two of them. A run
+#: that begins with a stand-in doesn't begin within others, so that each start is tried once.
+_SPACED = re.compile(
+    r"(?:(?<![^\W_])(?=[^\W_])|(?<![^\W_@$!|+€(¡£])(?=[@$!|+€(¡£]))"
+    r"([^\W_]|[@$!|+€(¡£])\1*(?:[\s._*~'`,:;·•^=/\\%&#?)\[\]{}<>\"\-]+([^\W_]|[@$!|+€(¡£])\2*){2,}(?![^\W_])"
+)
+#: Two such pieces in a row behind a sign or white space, as in every run of three; looked for first, as it is cheap.
+_SPACED_PAIR = re.compile(
+    r"[\s._*~'`,:;·•^=/\\%&#?)\[\]{}<>\"\-]([^\W_]|[@$!|+€(¡£])\1*[\s._*~'`,:;·•^=/\\%&#?)\[\]{}<>\"\-]+([^\W_]|[@$!|+€(¡£])\2*(?![^\W_])"
+)
+_PIECE = re.compile(r"([^\W_]|[@$!|+€(¡£])\1*")
 _ODD = re.compile(r"[^\W\d_].*?[\d@$!|+€(¡£._*~\-%&#].*?[^\W\d_]|[\d@$!|+€(¡£][^\W\d_]|[^\W\d_][\d@$€]|(.)\1\1", re.S)
 #: Three or more of one sign at an end are decoration.
 _DECOR = re.compile(r"^([^\w\s])\1\1+|([^\w\s])\2\2+$")
@@ -124,12 +136,12 @@ def _choices(character: str, length: int) -> list[tuple[str, float]]:
     return found
 
 
-def decode(word: str, model: LanguageModel) -> str:
-    """The likeliest reading of a lower-case word: Viterbi search over its runs; a state is the last two symbols."""
+def _best(steps: Iterable[list[tuple[str, float]]], model: LanguageModel) -> str:
+    """The likeliest reading of what each step may stand for: Viterbi search; a state is the last two symbols."""
     lm = model.log
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for character, length in _runs(word):
-        choices, then = _choices(character, length), {}
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+    for choices in steps:
+        then: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, read) in states.items():
             for meant, cost in choices:
                 x, y, s = a, b, score + cost
@@ -138,9 +150,30 @@ def decode(word: str, model: LanguageModel) -> str:
                     s += lm[x][y][z] if z or not c.isdigit() else -7.0  # a digit kept among letters is rare
                     x, y = y, z
                 if (x, y) not in then or s > then[x, y][0]:
-                    then[x, y] = (s, read + meant)
+                    then[x, y] = (s, (read, meant))
         states = then
-    return max(((s + lm[a][b][0], read) for (a, b), (s, read) in states.items()), default=(0.0, ""))[1]
+    read = max(((s + lm[a][b][0], read) for (a, b), (s, read) in states.items()), key=lambda found: found[0])[1]
+    parts = []
+    while read is not None:
+        read, meant = read
+        parts.append(meant)
+    return "".join(reversed(parts))
+
+
+def decode(word: str, model: LanguageModel) -> str:
+    """The likeliest reading of a lower-case word; steps are its runs."""
+    return _best((_choices(character, length) for character, length in _runs(word)), model)
+
+
+def decode_spaced(spaced: str, model: LanguageModel, edge: float) -> list[str]:
+    """The words of the likeliest reading of lower-case letters that stand spaced out: what stands between two of them is
+    the edge of a word or means nothing."""
+    steps: list[list[tuple[str, float]]] = []
+    for piece in _PIECE.finditer(spaced):
+        if steps:
+            steps.append([(" ", edge), ("", 0.0)])
+        steps.append(_choices(piece[1], len(piece[0])))
+    return _best(steps, model).split()
 
 
 def is_odd(word: str) -> bool:
@@ -169,12 +202,18 @@ class Restorer:
         return tuple(dict.fromkeys(f for word in self.restore(token) for f in (word, *(f"{word[:n]}-" for n in STEMS if len(word) > n))))
 
     def tokens(self, text: str) -> set[str]:
-        """Tokens, and letters that stand spaced out put together."""
+        """Tokens, and letters that stand spaced out put together: all of a run, and as the language model divides it."""
         found = set(text.split())
+        if not _SPACED_PAIR.search(text):
+            return found
         for spaced in _SPACED.finditer(text):
-            joined = re.sub(r"[ ._*\-]", "", spaced[0])
+            joined = "".join(piece[0] for piece in _PIECE.finditer(spaced[0]))
             if len(set(joined.lower())) > 1:
                 found.add(joined)
+                # an end sign may be a letter or none
+                for own in {spaced[0].lower(), spaced[0].lower().strip(_EDGES + " \t\n\r")}:
+                    for edge in EDGES:
+                        found.update(decode_spaced(own, self.model, edge))
         return found
 
 

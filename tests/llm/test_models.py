@@ -187,3 +187,15 @@ def test_neighbours(spark, monkeypatch):
     given = dict(rows)
     assert all(s == float((np.array(given[q]) * np.array(given[i])).sum()) for q in found for i, s in found[q])
     assert ann.search(df.filter(F.lit(False))).count() == 0
+
+
+def test_spaced_letters_are_one_lattice():
+    text = "you are a moron and he is an idiot or a clown who sat on the trash"
+    scorer = toxicity.Scorer(toxicity.count_trigrams([text] * 200), {w: 5.0 for w in ("moron", "idiot", "clown", "trash")})
+    for bad in (
+        "i d i o t.", "i d i o t, and", "(i d i o t)", "m o r 0 n!", "t r @ $ h", "c  l  o  w  n", "m\no\nr\no\nn", "c - l - o - w - n",
+        "you are a i d i o t", "i d i o t !", "i dd i oooo t", "M O R O N and", "m o r o n a n d i d i o t",
+    ):
+        assert scorer.score(bad) >= toxicity.THRESHOLD, bad
+    for fine in ("y o u, a r e", "(1 2 3 4)", "a a a a.", "1. a b c", "! ! ! $ $ $", "$" * 50_000):
+        assert scorer.score(fine) < toxicity.THRESHOLD, fine
