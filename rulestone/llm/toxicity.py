@@ -61,7 +61,8 @@ _SPACED_PAIR = re.compile(
     r"[\s._*~'`,:;·•^=/\\%&#?)\[\]{}<>\"\-]([^\W_]|[@$!|+€(¡£])\1*[\s._*~'`,:;·•^=/\\%&#?)\[\]{}<>\"\-]+([^\W_]|[@$!|+€(¡£])\2*(?![^\W_])"
 )
 _PIECE = re.compile(r"([^\W_]|[@$!|+€(¡£])\1*")
-_ODD = re.compile(r"[^\W\d_].*?[\d@$!|+€(¡£._*~\-%&#].*?[^\W\d_]|[\d@$!|+€(¡£][^\W\d_]|[^\W\d_][\d@$€]|(.)\1\1", re.S)
+_LETTER, _BETWEEN = re.compile(r"[^\W\d_]"), re.compile(r"[\d@$!|+€(¡£._*~\-%&#]")
+_ODD = re.compile(r"[\d@$!|+€(¡£][^\W\d_]|[^\W\d_][\d@$€]|(.)\1\1", re.S)
 #: Three or more of one sign at an end are decoration.
 _DECOR = re.compile(r"^([^\w\s])\1\1+|([^\w\s])\2\2+$")
 _EDGES = "".join(FILLER) + "…“”«»¿–—’‘"
@@ -177,7 +178,13 @@ def decode_spaced(spaced: str, model: LanguageModel, edge: float) -> list[str]:
 
 
 def is_odd(word: str) -> bool:
-    return _ODD.search(word) is not None
+    """In time linear in the word's length, as a token may be a whole text."""
+    if _ODD.search(word):
+        return True
+    first = _LETTER.search(word)
+    if first is None:
+        return sum(c in LOOKS_LIKE for c in word) > 2
+    return _BETWEEN.search(word, first.end(), len(word) - _LETTER.search(word[::-1]).end()) is not None
 
 
 class Restorer:
@@ -192,10 +199,9 @@ class Restorer:
         word = token.lower().strip(_EDGES)
         if not is_odd(token):
             return [word] if word else []
-        # an end sign may be a letter, as in "a$$", so the whole token is decoded as well; ids and numbers are left
-        if len(token) > 40 or sum(c.isdigit() for c in word) > 0.7 * len(word):
-            return [word] if word else []
-        readings = dict.fromkeys([word, decode(word, self.model), decode(token.lower().lstrip(_EDGES), self.model)])
+        # a sign at either end may be a letter, as in "a$$", so the token is decoded with them as well
+        whole = dict.fromkeys([word, token.lower().lstrip(_EDGES), token.lower()])
+        readings = dict.fromkeys([word, *(decode(w, self.model) for w in whole)])
         return [r for r in readings if r]
 
     def features(self, token: str) -> tuple[str, ...]:

@@ -199,3 +199,12 @@ def test_spaced_letters_are_one_lattice():
         assert scorer.score(bad) >= toxicity.THRESHOLD, bad
     for fine in ("y o u, a r e", "(1 2 3 4)", "a a a a.", "1. a b c", "! ! ! $ $ $", "$" * 50_000):
         assert scorer.score(fine) < toxicity.THRESHOLD, fine
+
+
+def test_long_and_fully_disguised_words_are_decoded():
+    text = "you are a moron and these are idiots or a clown who sat on the trash of the asses"
+    scorer = toxicity.Scorer(toxicity.count_trigrams([text] * 200), {w: 5.0 for w in ("moron", "idiots", "clown", "trash", "asses")})
+    for bad in ("cl" + "o" * 60 + "wn", "i.....d.....i.....o.....t.....s..........x".rstrip("x") + ".", "m" + "-" * 50 + "oron", "1d1075", "4553s", "45535", "@$$3$"):
+        assert scorer.score(bad) >= toxicity.THRESHOLD, bad
+    for fine in ("2019", "57100", "3.14", "12:30", "+49-170-1234567", "9f86d081884c7d659a2feaa0c55ad015", "x" * 100_000, "aB3d9" * 20_000):
+        assert scorer.score(fine) < toxicity.THRESHOLD, fine
