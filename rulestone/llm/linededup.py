@@ -1,7 +1,7 @@
 """Removing repeated passages by overlapping three-line windows, with DataFrame functions alone.
 
 Every three consecutive lines are hashed. A window that occurs again anywhere is kept where it occurs first, in the order
-of doc_id and position; the lines that later occurrences cover are merged and removed.
+of doc_id, text (by its hash) and position; the lines that later occurrences cover are merged and removed.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from .common import checkpoint, text_or_empty
 
 WINDOW = 3
-_SPAN = 1 << 32  # positions in a document are below it
 _BLANK = " \t\r\x0b\f"
 
 
@@ -34,7 +33,7 @@ def _document() -> list[Column]:
 
 def windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """doc_id, text_hash, at (number among the document's solid lines), covers (places of its lines), h1 and h2 (two
-    64-bit hashes of them), and place, which orders all windows by doc_id and position; nulls come first."""
+    64-bit hashes of them), and place, which orders all windows by doc_id, text_hash and position; nulls come first."""
     each = docs.select(*_document(), _solid(_lines()).alias("solid"))
 
     def window(i: Column) -> Column:
@@ -45,11 +44,10 @@ def windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
 
     # without a filter, which would be pushed below the projection and hash all lines again
     slid = F.when(F.size("solid") >= width, F.transform(F.sequence(F.lit(0), F.size("solid") - width), window))
-    place = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(20,0)")) * F.lit(_SPAN).cast("decimal(11,0)")
     return (
         each.select("doc_id", "text_hash", F.posexplode(slid).alias("at", "w"))
         .select("doc_id", "text_hash", "at", "w.covers", "w.h1", "w.h2")
-        .withColumn("place", (place + F.col("at").cast("decimal(11,0)")).cast("decimal(38,0)"))
+        .withColumn("place", F.struct("doc_id", "text_hash", "at"))
     )
 
 
@@ -62,10 +60,11 @@ def removals(docs: DataFrame, width: int = WINDOW) -> DataFrame:
         .filter(F.col("n") > 1)
         .select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "first")
     )
-    gap = F.col("place") - F.col("first")
-    # an occurrence that overlaps the first one spares that one's lines
-    spared = F.when(gap < width, F.lit(width) - gap.cast("int")).otherwise(0)
-    later = every.join(repeated, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2"))).filter(gap > 0)
+    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    gap = F.col("at") - F.col("first.at")
+    # an occurrence that overlaps the first one, in the same document, spares that one's lines
+    spared = F.when(own & (gap < width), F.lit(width) - gap).otherwise(0)
+    later = every.join(repeated, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2"))).filter(~(own & (gap == 0)))
     covered = F.slice("covers", spared + 1, F.lit(width))
     return later.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list(covered)).alias("gone"))
 

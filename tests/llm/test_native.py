@@ -255,3 +255,13 @@ def test_rows_of_one_id_are_told_apart(spark):
     rows = [(1, a, None, None, None), (2, a, None, None, None), (2, b, None, None, None), (3, b + " ", None, None, None), (2, c, None, None, None), (None, c, None, None, None)]
     kept = simhash.keep_one(table(spark, rows)).collect()
     assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, a), (2, b), (2, c)])
+
+
+def test_lines_of_texts_that_share_an_id(spark):
+    """A passage at the same place, and one line further, of different texts with one id or none."""
+    head = "one\ntwo\nthree"
+    for doc_id in (7, None):
+        rows = [(doc_id, t, None, None, None) for t in (f"{head}\nmore", f"{head}\nother", f"zero\n{head}")]
+        found = linededup.drop_repeats(table(spark, rows)).collect()
+        assert sorted(r.n_removed for r in found) == [0, 3, 3]
+        assert sum(head in r.text for r in found) == 1
