@@ -136,9 +136,9 @@ def _named(host: Column, path: Column, docs: DataFrame) -> DataFrame:
     return docs.withColumns({"host": F.coalesce(host.cast("string"), F.lit("")), "path": F.coalesce(path.cast("string"), F.lit(""))})
 
 
-def assess(docs: DataFrame, classifier: Classifier, host: Column | None = None, path: Column | None = None) -> DataFrame:
+def assess(docs: DataFrame, classifier: Classifier, host: Column | None = None, path: Column | None = None, keys: list[Column] | None = None) -> DataFrame:
     """Per document: doc_id, evidence (chance by its text alone), host_rate, path_rate, quality (final chance), good (int,
-    1 from the threshold on).
+    1 from the threshold on), and keys (columns of docs, none by default).
 
     By default documents' source is the host and their language within it the path. A null host or path is a site of its
     own; a null text is empty; repeated rows count as often as they stand; other columns are not looked at; an empty
@@ -148,11 +148,13 @@ def assess(docs: DataFrame, classifier: Classifier, host: Column | None = None,
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
     own = docs.select(
+        *(keys or []),
         F.col("doc_id").cast("long"),
         F.coalesce(host.cast("string"), F.lit("")).alias("host"),
         F.coalesce(path.cast("string"), F.lit("")).alias("path"),
         classifier.log_odds().alias("odds"),
     )
+    named = own.columns[: len(keys or [])]
     scored = checkpoint(own.withColumn("chance", 1 / (1 + F.exp(-F.col("odds")))))
     rates = checkpoint(sites(scored))
     rates = F.broadcast(rates) if rates.count() <= SMALL_ROWS else rates
@@ -164,6 +166,7 @@ def assess(docs: DataFrame, classifier: Classifier, host: Column | None = None,
     shift = F.greatest(F.lit(-SITE_CLIP), F.least(F.lit(SITE_CLIP), logit("path_rate") - logit("overall")))
     quality = 1 / (1 + F.exp(-(F.col("odds") + shift)))
     return scored.join(rates, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path"))).select(
+        *named,
         "doc_id",
         F.col("chance").alias("evidence"),
         "host_rate",
@@ -174,8 +177,15 @@ def assess(docs: DataFrame, classifier: Classifier, host: Column | None = None,
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs that reach the threshold, columns as given. Rows that share a doc_id stay or go together, by the best of
-    them; rows without a doc_id are judged together likewise."""
-    judged = assess(docs, train(docs, labels))
-    stay = judged.filter(F.col("quality") >= threshold).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi")
+    """docs that reach the threshold, columns as given. Each row is judged by its own text and site, whatever its doc_id:
+    rows are told apart by doc_id, text, source and language."""
+
+    def row() -> list[Column]:
+        return [F.xxhash64(text_or_empty()), F.xxhash64(F.lit(7), text_or_empty()), F.coalesce(F.col("source"), F.lit("")), F.coalesce(F.col("lang"), F.lit(""))]
+
+    judged = assess(docs, train(docs, labels), keys=[c.alias(f"_key{i}") for i, c in enumerate(row())])
+    stay = judged.filter(F.col("quality") >= threshold).select(F.col("doc_id").alias("_stay"), *[f"_key{i}" for i in range(4)]).distinct()
+    same = docs["doc_id"].eqNullSafe(stay["_stay"])
+    for i, c in enumerate(row()):
+        same = same & (c == stay[f"_key{i}"])
+    return docs.join(stay, same, "left_semi")

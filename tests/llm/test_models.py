@@ -208,3 +208,11 @@ def test_long_and_fully_disguised_words_are_decoded():
         assert scorer.score(bad) >= toxicity.THRESHOLD, bad
     for fine in ("2019", "57100", "3.14", "12:30", "+49-170-1234567", "9f86d081884c7d659a2feaa0c55ad015", "x" * 100_000, "aB3d9" * 20_000):
         assert scorer.score(fine) < toxicity.THRESHOLD, fine
+
+
+def test_rows_of_one_id_are_judged_each(spark):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    good, poor = "plain words of a text. " * 9, "###%%% $$$ " * 9
+    rows = [(i, good if i % 2 else poor, "s") for i in range(40)] + [(1, poor, "s"), (None, good, "s"), (None, poor, "s")]
+    kept = quality.keep_good(table(spark, rows), labels).collect()
+    assert sorted((r.doc_id or 0) for r in kept) == [0, *range(1, 40, 2)] and {r.text for r in kept} == {good}
