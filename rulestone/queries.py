@@ -11,7 +11,7 @@ from .operators.evaluate import checks, clause_statuses, evaluate, merge_reports
 from .operators.reports import by_resource, failed_with_names, sarif_results, summary
 from .operators.rulegen import clauses, distinct_values, generated
 from .operators.testing import run_tests
-from .sources.files import merge_maps, read_payload
+from .sources.files import read_payload, with_parameters
 from .sources.loader import load_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -426,7 +426,7 @@ def s4_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s5_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parameters merged into each document."""
     docs = table(spark, sf_dir, "orders").select("o_orderkey", F.to_variant_object(F.struct("o_totalprice")).alias("document"))
-    merged = docs.withColumn("document", merge_maps([F.col("document"), F.parse_json(F.lit('{"limit": 1.0E5}'))]))
+    merged = with_parameters(docs, spark.range(1).select(F.parse_json(F.lit('{"limit": 1.0E5}')).alias("document")))
     return evaluate(merged, "let limit = limit\nrule r { o_totalprice < %limit }", ["o_orderkey"], "document")
 
 

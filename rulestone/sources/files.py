@@ -19,6 +19,8 @@ RULE_ENDINGS = ("guard", "ruleset")
 TEST_ENDINGS = ("yaml", "yml", "json", "jsn")
 
 PAYLOAD = "rules array<string>, data array<string>"
+#: Parameter documents that are merged at most; more are an error.
+MOST_PARAMETERS = 10_000
 
 
 def scan_texts(spark: SparkSession, paths: str | Iterable[str], endings: Iterable[str] = DATA_ENDINGS, order: str = "alphabetical") -> DataFrame:
@@ -90,8 +92,11 @@ def merge_maps(documents: Iterable[Column]) -> Column:
 
 def with_parameters(docs: DataFrame, parameters: DataFrame, document: str = "document") -> DataFrame:
     """docs with the keys of all parameter documents merged into each document. parameters: documents of a few files;
-    their merged map is one value, which is broadcast as a literal of at most 8 MB of JSON."""
-    texts = [r[0] for r in parameters.select(F.to_json(F.col("document"))).limit(10_000).collect()]
+    their merged map is one value, which is broadcast as a literal of at most 8 MB of JSON. More than MOST_PARAMETERS
+    documents are an error."""
+    texts = [r[0] for r in parameters.select(F.to_json(F.col("document"))).limit(MOST_PARAMETERS + 1).collect()]
+    if len(texts) > MOST_PARAMETERS:
+        raise ValueError(f"more than {MOST_PARAMETERS} documents of input parameters")
     if sum(map(len, filter(None, texts))) > 8 << 20:
         raise ValueError("input parameters of more than 8 MB")
     literals = [F.parse_json(F.lit(t)) for t in texts if t]

@@ -19,6 +19,7 @@ from rulestone.plans.compiler import RuleError
 from rulestone.plans.parser import FUNCTIONS as ARITIES
 from rulestone.plans.parser import RuleSyntaxError, parse_rules
 from rulestone.plans.query import UnsupportedRuleError, spellings
+from rulestone.sources import files as files_module
 from rulestone.sources.files import merge_maps, pair_tests, read_rules, scan_documents, scan_texts, texts_of, with_parameters
 from rulestone.sources.loader import DocumentError, canonical_json, load_documents, load_text
 from rulestone.streaming.stream import stream_results, windowed_tallies
@@ -317,3 +318,12 @@ def test_internal_columns_do_not_leak(spark):
     done = compile_rules(spark.range(3), ["rule a { id > 0 }", "rule a { id < 2 }"])
     assert list(done.names) == ["a", "1:a"]
     assert evaluate(spark.range(3), ["rule a { id > 0 }", "rule b { id < 2 }"], ["id"]).columns == ["id", "a", "b"]
+
+
+def test_too_many_parameters_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(files_module, "MOST_PARAMETERS", 3)
+    docs = spark.range(1).select(F.parse_json(F.lit('{"x": 1}')).alias("document"))
+    some = [spark.range(n).select(F.parse_json(F.concat(F.lit('{"p'), F.col("id").cast("string"), F.lit('": 1}'))).alias("document")) for n in (3, 4)]
+    assert len(with_parameters(docs, some[0]).select(F.explode(F.map_keys(F.try_variant_get("document", "$", "map<string,variant>")))).collect()) == 4
+    with pytest.raises(ValueError, match="more than 3 documents"):
+        with_parameters(docs, some[1])
