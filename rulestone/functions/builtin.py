@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.ast import Literal
 from ..plans.query import ERROR, RESOLVED, Lit, Many, One, Piece, UnsupportedRuleError, entry, many, nothing
 from ..plans.values import BOOLEAN, CHAR, DOUBLE, LONG, STRING, VARIANT, Val, both, choose, is_kind, java_pattern, literal_value, scalar
 
@@ -65,21 +66,39 @@ def checked(v: Val, kind: str, good: Callable[[Column], Column], value: Callable
     return [(both(condition, F.coalesce(good(own), F.lit(False))), value(own)), (condition, None)]
 
 
-def text_argument(pieces: list[Piece], function: str) -> str:
-    if len(pieces) == 1 and isinstance(pieces[0], Lit) and pieces[0].literal.kind in ("string", "char"):
-        return pieces[0].literal.value
-    raise UnsupportedRuleError(f"{function} needs a literal string there")
+def literal_argument(pieces: list[Piece]) -> Literal | None:
+    return pieces[0].literal if len(pieces) == 1 and isinstance(pieces[0], Lit) else None
 
 
-def number_argument(pieces: list[Piece], function: str) -> int:
+def first_of(pieces: list[Piece], kind: str, function: str) -> Column:
+    """The first value that a query finds, if it is of that kind, or else null."""
+    if not pieces:
+        raise UnsupportedRuleError(f"{function} has an argument that never finds anything")
+    p = pieces[0]
+    if isinstance(p, Lit):
+        raise UnsupportedRuleError(f"{function} takes no {p.literal.kind} there")
+    v, ok = (p.val, p.ok) if isinstance(p, One) else (Val(F.get(p.array, F.lit(0))["v"], p.type), F.get(p.array, F.lit(0))["k"] == RESOLVED)
+    condition = both(ok, is_kind(v, kind))
+    return F.lit(None).cast("string" if kind == "string" else "int") if condition is False else choose([(condition, scalar(v, kind))], F.lit(None))
+
+
+def text_argument(pieces: list[Piece], function: str) -> str | Column:
+    own = literal_argument(pieces)
+    return own.value if own is not None and own.kind in ("string", "char") else first_of(pieces, "string", function)
+
+
+def number_argument(pieces: list[Piece], function: str) -> int | Column:
     """Numbers wrap to 16 bits without a sign."""
-    if len(pieces) == 1 and isinstance(pieces[0], Lit):
-        lit = pieces[0].literal
-        if lit.kind == "int":
-            return lit.value & 0xFFFF
-        if lit.kind == "float":
-            return max(0, min(0xFFFF, int(lit.value)))
-    raise UnsupportedRuleError(f"{function} needs a literal number there")
+    own = literal_argument(pieces)
+    if own is not None and own.kind == "int":
+        return own.value & 0xFFFF
+    if own is not None and own.kind == "float":
+        return max(0, min(0xFFFF, int(own.value)))
+    return F.pmod(first_of(pieces, "int", function), F.lit(1 << 16)).cast("int")
+
+
+def as_column(x: str | int | Column) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
 
 
 def count(args: list[list[Piece]]) -> list[Piece]:
@@ -100,7 +119,8 @@ def count(args: list[list[Piece]]) -> list[Piece]:
 
 def join(args: list[list[Piece]]) -> list[Piece]:
     """One string of all; an error if any isn't a string."""
-    delimiter, texts, fine = text_argument(args[1], "join"), [], F.lit(True)
+    delimiter, texts = as_column(text_argument(args[1], "join")), []
+    fine = delimiter.isNotNull()
     for p in args[0]:
         own = many([p])
         if own.type != STRING and own.type != VARIANT:
@@ -113,7 +133,7 @@ def join(args: list[list[Piece]]) -> list[Piece]:
         texts.append(F.transform(own.array, as_text))
         fine = fine & ~F.exists(texts[-1], lambda s: s.isNull())
     whole = texts[0] if len(texts) == 1 else F.concat(*texts) if texts else F.array().cast("array<string>")
-    return [Many(F.array(entry(F.when(fine, RESOLVED).otherwise(ERROR), F.array_join(whole, delimiter), None)), STRING)]
+    return [Many(F.array(entry(F.when(fine, RESOLVED).otherwise(ERROR), F.call_function("array_join", whole, delimiter), None)), STRING)]
 
 
 def json_parse(args: list[list[Piece]]) -> list[Piece]:
@@ -125,16 +145,23 @@ def json_parse(args: list[list[Piece]]) -> list[Piece]:
 
 def regex_replace(args: list[list[Piece]]) -> list[Piece]:
     """The replacements of all matches one after the other; what isn't matched is left out."""
-    pattern = java_pattern(text_argument(args[1], "regex_replace"))
-    into = text_argument(args[2], "regex_replace").replace("\\", "\\\\").replace("${", "\x00{")
-    into = re.sub("\x00\\{(\\w+)\\}", lambda m: f"${m[1]}" if m[1].isdigit() else "${" + m[1] + "}", into)
+    pattern, into = text_argument(args[1], "regex_replace"), text_argument(args[2], "regex_replace")
+    fixed = isinstance(pattern, str) and isinstance(into, str)
+    pattern = F.lit(java_pattern(pattern)) if isinstance(pattern, str) else pattern
+    if isinstance(into, str):
+        into = into.replace("\\", "\\\\").replace("${", "\x00{")
+        into = F.lit(re.sub("\x00\\{(\\w+)\\}", lambda m: f"${m[1]}" if m[1].isdigit() else "${" + m[1] + "}", into))
+    else:
+        into = F.regexp_replace(F.replace(into, F.lit("\\"), F.lit("\\\\")), r"\$\{(\d+)\}", "\\$$1")
 
     def cases(v: Val) -> list[Case]:
         def replaced(s: Column) -> Column:
-            matches = F.regexp_extract_all(s, F.lit(pattern), F.lit(0))
+            matches = F.regexp_extract_all(s, pattern, F.lit(0))
             return F.array_join(F.transform(matches, lambda m: F.regexp_replace(m, pattern, into)), "")
 
-        return [with_kind(v, "string", replaced)]
+        condition = is_kind(v, "string")
+        unknown = [] if fixed or condition is False else [(both(condition, pattern.isNull() | into.isNull()), None)]
+        return [*unknown, with_kind(v, "string", replaced)]
 
     return mapped(args[0], STRING, cases)
 
@@ -142,14 +169,17 @@ def regex_replace(args: list[list[Piece]]) -> list[Piece]:
 def substring(args: list[list[Piece]]) -> list[Piece]:
     """Bytes from (in) to (out); dropped where these are out of range."""
     first, end = number_argument(args[1], "substring"), number_argument(args[2], "substring")
+    never = isinstance(first, int) and isinstance(end, int) and first >= end
+    first, end = as_column(first), as_column(end)
 
     def cases(v: Val) -> list[Case]:
         condition = is_kind(v, "string")
-        if condition is False or first >= end:
+        if condition is False or never:
             return []
         s = scalar(v, "string")
         cut = F.decode(F.substring(F.encode(s, "UTF-8"), first + 1, end - first), "UTF-8")
-        return [(both(condition, (F.octet_length(s) >= end) & (s != "")), cut)]
+        inside = (F.octet_length(s) >= end) & (first < end) & (s != "")
+        return [(both(condition, F.coalesce(inside, F.lit(False))), cut)]
 
     return mapped(args[0], STRING, cases)
 

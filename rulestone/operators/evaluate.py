@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.ast import RuleFile
+from ..plans.callsites import without_call_sites
 from ..plans.compiler import CHECK, STATUSES, Compiler, status_text
 from ..plans.parser import parse_rules
 from ..plans.query import ERROR, FAIL, PASS, SKIP
@@ -57,6 +58,7 @@ def document_of(docs: DataFrame, document: str | None, detail: bool) -> Val:
     return Val(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), T.StructType(docs.schema.fields), path, nullable=False)
 
 
+@without_call_sites
 def compile_rules(docs: DataFrame, rules: Rules, document: str | None = None, *, detail: bool = False, compat: bool = True) -> Evaluated:
     """document: name of a VARIANT column; None for the row itself."""
     root = document_of(docs, document, detail)
@@ -73,6 +75,7 @@ def compile_rules(docs: DataFrame, rules: Rules, document: str | None = None, *,
     return Evaluated(frame, names)
 
 
+@without_call_sites
 def clause_statuses(docs: DataFrame, rules: Rules, keep: list[str], document: str | None = None, *, compat: bool = True) -> DataFrame:
     """One row per clause of each rule, conditions included: keep, rule, seq, clause, status; the walk through a document."""
     frame, found = docs, []
@@ -85,6 +88,7 @@ def clause_statuses(docs: DataFrame, rules: Rules, keep: list[str], document: st
     return frame.select(*keep, F.explode(F.concat(*found)).alias("__each")).select(*keep, "__each.rule", "__each.seq", "__each.c.*")
 
 
+@without_call_sites
 def evaluate(docs: DataFrame, rules: Rules, keep: list[str], document: str | None = None, *, strict: bool = False, compat: bool = True) -> DataFrame:
     """One row per document: keep, and a column of statuses (PASS, FAIL, SKIP, ERROR) for each rule. strict: an ERROR ends
     the job instead."""
@@ -99,6 +103,7 @@ def evaluate(docs: DataFrame, rules: Rules, keep: list[str], document: str | Non
     return done.frame.select(*keep, *[shown(r) for r in done.names])
 
 
+@without_call_sites
 def results(docs: DataFrame, rules: Rules, keep: list[str], document: str | None = None, *, compat: bool = True) -> DataFrame:
     """One row per document and rule: keep, rule, status."""
     done = compile_rules(docs, rules, document, compat=compat)
@@ -106,6 +111,7 @@ def results(docs: DataFrame, rules: Rules, keep: list[str], document: str | None
     return done.frame.select(*keep, F.explode(each).alias("__each")).select(*keep, "__each.rule", "__each.status")
 
 
+@without_call_sites
 def checks(docs: DataFrame, rules: Rules, keep: list[str], document: str | None = None, *, compat: bool = True) -> DataFrame:
     """One row per check that failed: keep, rule, seq (within the rule, from 0), clause, line, column, path, value,
     compared, message, custom_message."""
@@ -118,6 +124,7 @@ def checks(docs: DataFrame, rules: Rules, keep: list[str], document: str | None
     return done.frame.select(*keep, F.explode(F.concat(*tagged)).alias("__each")).select(*keep, "__each.rule", "__each.seq", "__each.check.*")
 
 
+@without_call_sites
 def reports(docs: DataFrame, rules: Rules, name: str, document: str | None = None, *, compat: bool = True) -> DataFrame:
     """One row per document: name, metadata, status, not_compliant (failed rules with their checks), not_applicable and
     compliant (names, in order)."""
@@ -155,6 +162,7 @@ def merge_reports(parts: DataFrame) -> DataFrame:
     return merged.select("name", F.create_map().cast("map<string,string>").alias("metadata"), status.alias("status"), "not_compliant", "not_applicable", "compliant")
 
 
+@without_call_sites
 def tallies(docs: DataFrame, rules: Rules, by: list[str] | None = None, document: str | None = None, *, compat: bool = True) -> DataFrame:
     """by, rule, status, n: documents by rule and status. Counts are added up before the shuffle."""
     by = by or []
@@ -173,6 +181,7 @@ def tallies(docs: DataFrame, rules: Rules, by: list[str] | None = None, document
     return summed.select(*by, F.explode(each).alias("__each")).select(*by, "__each.*").filter(F.col("n") > 0)
 
 
+@without_call_sites
 def roll_up(docs: DataFrame, rules: Rules, by: list[str], document: str | None = None, *, compat: bool = True) -> DataFrame:
     """by, rule, status: the highest status of the documents of a group."""
     done = compile_rules(docs, rules, document, compat=compat)

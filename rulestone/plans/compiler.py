@@ -81,10 +81,23 @@ def highest(statuses: list[Column], least: int = SKIP) -> Column:
 
 @dataclass
 class Outcomes:
-    """Statuses of the values of a clause: single Columns, and arrays. In detail mode all are arrays of struct<s, ...>."""
+    """Statuses of the values of a clause, in order: single Columns, and arrays. In detail mode struct<s, ...> each."""
 
-    ones: list[Column] = field(default_factory=list)
-    arrays: list[Column] = field(default_factory=list)
+    entries: list[tuple[bool, Column]] = field(default_factory=list)
+
+    def one(self, outcome: Column) -> None:
+        self.entries.append((False, outcome))
+
+    def many(self, outcomes: Column) -> None:
+        self.entries.append((True, outcomes))
+
+    @property
+    def ones(self) -> list[Column]:
+        return [c for several, c in self.entries if not several]
+
+    @property
+    def arrays(self) -> list[Column]:
+        return [c for several, c in self.entries if several]
 
 
 class Compiler(Queries):
@@ -92,12 +105,35 @@ class Compiler(Queries):
         super().__init__(detail, compat)
         self.rules, self.trace = rules, trace
         self.traces: list[tuple[str, str]] = []
-        self.layers: list[tuple[str, Column]] = []
+        #: Internal columns with their levels; need: the level that what is being compiled may stand at, behind all it reads.
+        self.layers: list[tuple[str, Column, int]] = []
+        self.need = 0
+        self.needs: dict[tuple[int, str], tuple[int, Scope]] = {}
         self.calls: list[str] = []
         self.references: dict[str, Column] = {}
 
     # -- plans
 
+    def layer(self, name: str, column: Column) -> Column:
+        """The column under a name of its own."""
+        self.layers.append((name, column, self.need))
+        self.need += 1
+        return F.col(name)
+
+    def variable(self, name: str, scope: Scope) -> list[Piece]:
+        owner = scope.owner(name)
+        outer, self.need = self.need, 0
+        found = super().variable(name, scope)
+        own, _ = self.needs.setdefault((id(owner), name), (self.need, owner))
+        self.need = max(outer, own)
+        return found
+
+    def capture(self, part: Any, before: list[Any], scope: Scope) -> None:
+        super().capture(part, before, scope)
+        owner = scope if scope.in_lambda else scope.top()
+        key = (id(owner), part.capture)
+        self.needs[key] = (max(self.need, self.needs.get(key, (0, owner))[0]), owner)
+
     def keep(self, scope: Scope, pieces: list[Piece]) -> list[Piece]:
         """Arrays of file-level variables become columns of their own, so that each is computed once."""
         if scope.in_lambda or scope.parent is not None:
@@ -105,9 +141,7 @@ class Compiler(Queries):
         kept: list[Piece] = []
         for p in pieces:
             if isinstance(p, Many):
-                name = f"__let_{len(self.layers)}"
-                self.layers.append((name, p.array))
-                p = Many(F.col(name), p.type)
+                p = Many(self.layer(f"__let_{len(self.layers)}", p.array), p.type)
             kept.append(p)
         return kept
 
@@ -118,26 +152,31 @@ class Compiler(Queries):
         for rule in self.rules.rules:
             by_name.setdefault(rule.name, []).append(rule)
         columns: dict[int, tuple[str, str | None]] = {}
+        behind: dict[int, int] = {}
         active: list[str] = []
 
         def compiled(rule: Rule) -> tuple[str, str | None]:
             if id(rule) in columns:
+                self.need = max(self.need, behind[id(rule)])
                 return columns[id(rule)]
             if rule.name in active:
                 raise RuleError(f"rule {rule.name} needs itself: {' -> '.join([*active, rule.name])}")
             active.append(rule.name)
+            outer, self.need = self.need, 0
             node = self.rule(rule, Scope(top.root, top))
             active.pop()
             name = f"__rule_{len(columns)}"
-            self.layers.append((name, node.status.cast("int")))
+            self.layer(name, node.status.cast("int"))
+            behind[id(rule)] = self.need
             checks = None
             if node.checks is not None:
                 checks = f"{name}_checks"
-                self.layers.append((checks, F.when(F.col(name) >= FAIL, node.checks).otherwise(F.array().cast(f"array<{CHECK}>"))))
+                self.layer(checks, F.when(F.col(name) >= FAIL, node.checks).otherwise(F.array().cast(f"array<{CHECK}>")))
             if self.trace:
-                self.layers.append((f"{name}_trace", self.traced(rule, Scope(top.root, top))))
+                self.layer(f"{name}_trace", self.traced(rule, Scope(top.root, top)))
                 self.traces.append((rule.name, f"{name}_trace"))
             columns[id(rule)] = (name, checks)
+            self.need = max(outer, behind[id(rule)])
             return columns[id(rule)]
 
         def referred(name: str) -> Column:
@@ -155,8 +194,9 @@ class Compiler(Queries):
         for i, rule in enumerate(self.rules.rules):
             label = rule.name if len(by_name[rule.name]) == 1 else f"{rule.name}#{[id(r) for r in by_name[rule.name]].index(id(rule)) + 1}"
             out[label if label not in out else f"{label}@{i}"] = compiled(rule)
-        for name, column in self.layers:
-            df = df.withColumn(name, column)
+        # as few projections as columns that read each other need
+        for level in range(max((at for _, _, at in self.layers), default=-1) + 1):
+            df = df.withColumns({name: column for name, column, at in self.layers if at == level})
         return df, out
 
     def traced(self, rule: Rule, scope: Scope) -> Column:
@@ -216,11 +256,13 @@ class Compiler(Queries):
         nodes = [self.item(x, scope) for x in items]
         if len(nodes) == 1:
             return nodes[0]
-        # the first PASS or error ends the walk
-        status = nodes[-1].status
-        for n in reversed(nodes[:-1]):
-            rest = status
-            status = F.when(n.status.isin(PASS, ERROR), n.status).otherwise(F.when(rest == PASS, PASS).otherwise(F.greatest(n.status, rest)))
+        # the first PASS or error ends the walk, so it outranks what stands behind it; each status is read once, as it may be
+        # a whole block with alternatives of its own
+        ranked = []
+        for i, n in enumerate(nodes):
+            above = 4 * (len(nodes) - i)
+            ranked.append(F.get(F.array(*map(F.lit, (SKIP, above + PASS, FAIL, above + ERROR))), n.status.cast("int")))
+        status = F.greatest(*ranked).bitwiseAND(3)
         if not self.detail:
             return Node(status)
         return Node(status, F.when(status == PASS, self.no_checks()).otherwise(F.concat(*[n.checks for n in nodes])))
@@ -306,16 +348,24 @@ class Compiler(Queries):
             def node_of(e: Column) -> Node:
                 return self.block(block, Scope(Val(e["v"], p.type, e["p"] if self.detail else None), scope, in_lambda=True))
 
-            def status_of(e: Column) -> Column:
-                detail, self.detail = self.detail, False
-                try:
-                    return F.when(e["k"] == RESOLVED, node_of(e).status).when(e["k"] == ERROR, ERROR).otherwise(missing).cast("int")
-                finally:
-                    self.detail = detail
+            def status_of(e: Column, node: Node) -> Column:
+                return F.when(e["k"] == RESOLVED, node.status).when(e["k"] == ERROR, ERROR).otherwise(missing).cast("int")
+
+            if not self.detail:
+                arrays.append(F.transform(p.array, lambda e: status_of(e, node_of(e))))
+                continue
 
-            arrays.append(F.transform(p.array, status_of))
-            if self.detail:
-                checks.append(F.flatten(F.transform(p.array, lambda e: F.when(e["k"] == RESOLVED, node_of(e).checks).otherwise(lost(e["p"])))))
+            def told(e: Column) -> Column:
+                node = node_of(e)
+                own = F.when(e["k"] == RESOLVED, node.checks).otherwise(lost(e["p"]))
+                return F.struct(status_of(e, node).alias("status"), own.alias("checks"))
+
+            walked = F.transform(p.array, told)
+            if not scope.in_lambda:
+                # a column of its own, so that elements are walked once for statuses and checks
+                walked = self.layer(f"__block_{len(self.layers)}", walked)
+            arrays.append(F.transform(walked, lambda w: w["status"]))
+            checks.append(F.flatten(F.transform(walked, lambda w: w["checks"])))
         if every:
             status = highest([*ones, *[F.coalesce(F.array_max(a), F.lit(SKIP)) for a in arrays]])
         else:
@@ -403,20 +453,22 @@ class Compiler(Queries):
         return found
 
     def rolled_up(self, a: Access, found: Outcomes) -> Node:
+        ones = [c["s"] for c in found.ones] if self.detail else found.ones
+
         def status(x: Column) -> Column:
             return F.transform(x, lambda e: e["s"]) if self.detail else x
 
         if a.query.every:
             tops = [F.coalesce(F.array_max(status(x)), F.lit(PASS)) for x in found.arrays]
-            result = highest([*found.ones, *tops], PASS)
+            result = highest([*ones, *tops], PASS)
         elif not found.arrays:
             passed = F.lit(False)
             wrong = F.lit(False)
-            for c in found.ones:
+            for c in ones:
                 passed, wrong = passed | (c == PASS), wrong | (c == ERROR)
             result = F.when(wrong, ERROR).when(passed, PASS).otherwise(FAIL)
         else:
-            everything = F.concat(*map(status, found.arrays), *([F.array(*found.ones)] if found.ones else []))
+            everything = F.concat(*map(status, found.arrays), *([F.array(*ones)] if ones else []))
             result = F.when(F.array_contains(everything, ERROR), ERROR).when(F.array_contains(everything, PASS), PASS).otherwise(FAIL)
         if not self.detail:
             return Node(result)
@@ -434,15 +486,16 @@ class Compiler(Queries):
                 plain = F.concat(F.lit("Check was not compliant as property value "), shown, F.lit(f" {said} value ["), F.coalesce(e["c"], F.lit("")), F.lit("]."))
             return self.check(a.text, a.location, e["p"], e["v"], e["c"], F.when(e["m"], F.lit(lost)).otherwise(plain), a.message)
 
-        everything = F.concat(*found.arrays) if found.arrays else None
-        checks = self.no_checks() if everything is None else F.transform(F.filter(everything, lambda e: e["s"] >= FAIL), told)
-        return Node(result, F.when(result >= FAIL, checks).otherwise(self.no_checks()))
+        parts = [
+            F.transform(F.filter(c, lambda e: e["s"] >= FAIL), told) if several else F.when(c["s"] >= FAIL, F.array(told(c))).otherwise(self.no_checks())
+            for several, c in found.entries
+        ]
+        checks = self.no_checks() if not parts else parts[0] if len(parts) == 1 else F.concat(*parts)
+        alone = len(parts) == 1 and a.query.every  # the checks are empty then unless the clause fails
+        return Node(result, checks if alone else F.when(result >= FAIL, checks).otherwise(self.no_checks()))
 
     def add(self, found: Outcomes, outcome: Column) -> None:
-        if self.detail:
-            found.arrays.append(F.array(outcome))
-        else:
-            found.ones.append(outcome)
+        found.one(outcome)
 
     # unary
 
@@ -493,7 +546,7 @@ class Compiler(Queries):
                     gone = self.outcome(F.when(e["k"] == ERROR, ERROR).otherwise(test(None)), None, missing=True, path=e["p"])
                     return F.when(e["k"] == RESOLVED, self.outcome(test(v), v)).otherwise(gone)
 
-                found.arrays.append(F.transform(p.array, each))
+                found.many(F.transform(p.array, each))
         node = self.rolled_up(a, found)
         empty = self.is_empty(pieces)
         if empty is False:
@@ -579,7 +632,7 @@ class Compiler(Queries):
                     self.put(found, own, p.val, compared)
                 elif isinstance(own, tuple):
                     gone = F.array(self.outcome(FAIL, None, compared, True, p.val.path))
-                    found.arrays.append(F.when(p.ok, self.spread(own, p.val, compared)).otherwise(gone))
+                    found.many(F.when(p.ok, self.spread(own, p.val, compared)).otherwise(gone))
                 else:
                     gone = self.outcome(FAIL, None, compared, True, p.val.path)
                     self.add(found, F.when(p.ok, self.outcome(own, p.val, compared)).otherwise(gone))
@@ -595,11 +648,11 @@ class Compiler(Queries):
 
                 apart = isinstance(test(Val(F.lit(None), p.type)), tuple)
                 stepped = F.transform(p.array, step)
-                found.arrays.append(F.flatten(stepped) if apart else stepped)
+                found.many(F.flatten(stepped) if apart else stepped)
 
     def put(self, found: Outcomes, own: Column | tuple, v: Side, compared: Side | None) -> None:
         if isinstance(own, tuple):
-            found.arrays.append(self.spread(own, v, compared))
+            found.many(self.spread(own, v, compared))
         else:
             self.add(found, self.outcome(own, v, compared))
 
@@ -716,13 +769,13 @@ class Compiler(Queries):
         lost = F.transform(F.filter(own.array, lambda e: e["k"] != RESOLVED), lambda e: self.outcome(FAIL, lit))
         at_once = F.concat(lost, F.array(self.outcome(whole, lit)))
         if lists is False:
-            found.arrays.append(at_once)
+            found.many(at_once)
             return
 
         def one(e: Column) -> Column:
             return self.outcome(F.when(e["k"] == RESOLVED, self.contained(lit, Val(e["v"], own.type), negated)).otherwise(FAIL), lit)
 
-        found.arrays.append(F.when(any_list, F.transform(own.array, one)).otherwise(at_once))
+        found.many(F.when(any_list, F.transform(own.array, one)).otherwise(at_once))
 
     def as_sets(self, op: str, left: list[Piece], right: list[Piece], negated: bool, found: Outcomes) -> None:
         """Two queries: one status for all values, and a failure for each that is unresolved."""
@@ -763,7 +816,7 @@ class Compiler(Queries):
             compared = F.to_json(F.transform(resolved_right, lambda e: json_text(Val(e["v"], b.type)).cast("string")))
             first = F.coalesce(F.get(F.transform(resolved_left, lambda e: e["p"]), F.lit(0)), F.lit(""))
             whole = F.struct(status.cast("int").alias("s"), first.alias("p"), shown.alias("v"), compared.alias("c"), F.lit(False).alias("m"))
-        found.arrays.append(F.concat(missing_left, missing_right, F.array(whole)))
+        found.many(F.concat(missing_left, missing_right, F.array(whole)))
 
     # order
 
@@ -820,7 +873,7 @@ class Compiler(Queries):
                     gone = F.array(self.outcome(F.when(e["k"] == ERROR, ERROR).otherwise(FAIL), None, None, True, e["p"]))
                     return F.when(e["k"] == RESOLVED, F.transform(r.array, one)).otherwise(gone)
 
-                found.arrays.append(F.flatten(F.transform(own.array, pairs)))
+                found.many(F.flatten(F.transform(own.array, pairs)))
 
 
 def contained_literals(v: Literal, right: Literal, negated: bool) -> int:

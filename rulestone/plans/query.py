@@ -229,6 +229,12 @@ class Queries:
         return owner.known[name]
 
     def run(self, parts: list[Any], scope: Scope) -> list[Piece]:
+        for at, part in enumerate(parts):
+            if getattr(part, "capture", None) and not (isinstance(part, Filter) and not isinstance(parts[at - 1], Key)):
+                self.capture(part, parts[:at], scope)
+        return self.found(parts, scope)
+
+    def found(self, parts: list[Any], scope: Scope) -> list[Piece]:
         first = parts[0]
         if isinstance(first, Key) and first.variable:
             values = self.variable(first.variable, scope)
@@ -402,12 +408,35 @@ class Queries:
     def or_missing(self, entries: Column, v: Val, t: T.DataType) -> Column:
         return F.when(F.size(entries) == 0, F.array(entry(UNRESOLVED, nothing(t), v.path))).otherwise(entries)
 
-    def capture(self, name: str, keys: Column, scope: Scope) -> None:
-        if scope.in_lambda:
-            raise UnsupportedRuleError(f"the key {name} is captured inside a query of each element")
-        own = Many(F.transform(keys, lambda k: entry(RESOLVED, k, k)), STRING)
-        top = scope.top()
-        top.known[name] = [*top.known.get(name, []), own]
+    def capture(self, part: AllIndices | AllValues | Filter, before: list[Any], scope: Scope) -> None:
+        """Keeps the keys of the maps that the parts before find as the variable that part names: all keys, or those whose
+        values a filter passes. They are seen by all that is compiled later; inside a block of each element, by the later
+        clauses of that element's block."""
+        values = many(self.found(before, scope))
+
+        def keys(v: Val) -> Column:
+            none = F.array().cast("array<string>")
+            if is_kind(v, "map") is False:
+                return none
+
+            def passes(x: Val) -> Column:
+                return self.clauses(part.clauses, Scope(x, scope, in_lambda=True)) == PASS
+
+            if isinstance(v.type, T.StructType):
+                held = [(f.name, Val(v.col[f.name], f.dataType, None, v.nullable or f.nullable)) for f in v.type.fields]
+                own = F.array_compact(F.array(*[F.when(passes(x), F.lit(k)) if isinstance(part, Filter) else F.lit(k) for k, x in held]))
+            elif isinstance(part, Filter):
+                t = VARIANT if v.dynamic else v.type.valueType
+                passing = F.filter(F.map_entries(as_map(v)), lambda e: passes(Val(e["value"], t)))
+                own = F.transform(passing, lambda e: e["key"])
+            else:
+                own = F.map_keys(as_map(v))
+            return F.coalesce(own, none)
+
+        found = F.transform(values.array, lambda e: F.when(e["k"] == RESOLVED, keys(Val(e["v"], values.type))).otherwise(F.array().cast("array<string>")))
+        own = Many(F.transform(F.flatten(found), lambda k: entry(RESOLVED, k, k)), STRING)
+        owner = scope if scope.in_lambda else scope.top()
+        owner.known[part.capture] = [*owner.known.get(part.capture, []), own]
 
     def all_of(self, part: AllIndices | AllValues, parts: list[Any], at: int, v: Val, scope: Scope, spelling: int | None) -> list[Piece]:
         into_maps = isinstance(part, AllValues) or part.capture is not None
@@ -423,8 +452,6 @@ class Queries:
             lists = each_of(Many(own, VARIANT), further(scope), self.detail)
             cases: list[tuple[Column, Many]] = [(is_kind(v, "list"), many(lists, VARIANT))]
             if into_maps:
-                if part.capture:
-                    self.capture(part.capture, F.coalesce(F.map_keys(as_map(v)), F.array().cast("array<string>")), scope)
                 cases.append((is_kind(v, "map"), many(each_of(Many(self.or_missing(self.members(v), v, VARIANT), VARIANT), further(None), self.detail), VARIANT)))
             rest = many(each_of(Many(alone, VARIANT), further(scope), self.detail), VARIANT)
             return [Many(choose([(c, m.array) for c, m in cases], rest.array), VARIANT)]
@@ -437,15 +464,11 @@ class Queries:
             return each_of(Many(own, t), further(scope), self.detail)
         if kind == "map" and into_maps:
             if isinstance(v.type, T.StructType):
-                if part.capture:
-                    self.capture(part.capture, F.array(*map(F.lit, v.type.names)), scope)
                 found: list[Piece] = []
                 for f in v.type.fields:
                     own_val = Val(v.col[f.name], f.dataType, joined(v.path, f.name), v.nullable or f.nullable)
                     found += self.steps(parts, at + 1, own_val, Scope(own_val, scope), spelling)
                 return found or self.unresolved(v)
-            if part.capture:
-                self.capture(part.capture, F.map_keys(v.col), scope)
             t = v.type.valueType
             own = self.or_missing(self.members(v), v, t)
             if v.nullable:
@@ -483,13 +506,6 @@ class Queries:
                 return itself()
             if not isinstance(before, Key):
                 return [Many(F.array(entry(ERROR, nothing(VARIANT), v.path)), VARIANT)]
-            if part.capture:
-                entries = F.map_entries(as_map(v)) if not isinstance(v.type, T.StructType) else None
-                if entries is None:
-                    raise UnsupportedRuleError("keys of a struct are captured by a filter")
-                t = VARIANT if v.dynamic else v.type.valueType
-                passing = F.filter(entries, lambda e: self.clauses(part.clauses, Scope(Val(e["value"], t), scope, in_lambda=True)) == PASS)
-                self.capture(part.capture, F.coalesce(F.transform(passing, lambda e: e["key"]), F.array().cast("array<string>")), scope)
             if isinstance(v.type, T.StructType):
                 found: list[Piece] = []
                 for f in v.type.fields:

@@ -66,41 +66,56 @@ def read_rules(paths: str | Iterable[str], order: str = "alphabetical") -> list[
 
 
 def read_payload(spark: SparkSession, payloads: DataFrame, column: str = "value") -> tuple[list[RuleFile], DataFrame]:
-    """Rules and documents of JSON payloads {"rules": [...], "data": [...]}, named by their places. Rules come to the
-    driver, as they are plans; data stay distributed."""
+    """Rules and documents of a JSON payload {"rules": [...], "data": [...]}, named by their places. Rules come to the
+    driver, as they are plans; data stay distributed. More than one payload is an error."""
     parsed = payloads.select(F.from_json(F.col(column), PAYLOAD).alias("p"))
-    rules = [
-        parse_rules(r.text or "", f"RULES_STDIN[{r.at + 1}]") for r in parsed.select(F.posexplode("p.rules").alias("at", "text")).orderBy("at").collect()
-    ]
+    given = parsed.select("p.rules").limit(2).collect()
+    if len(given) > 1:
+        raise ValueError("rules of several payloads can't be told apart: read them one by one")
+    texts = [t for r in given for t in r.rules or []]
+    rules = [parse_rules(t or "", f"RULES_STDIN[{at}]") for at, t in enumerate(texts, 1)]
     data = parsed.select(F.posexplode("p.data").alias("at", "content"))
     named = data.select(F.format_string("DATA_STDIN[%d]", F.col("at") + 1).alias("name"), "content")
     return [r for r in rules if r is not None], load_documents(named)
 
 
-def _keys(document: Column) -> Column:
-    return F.try_variant_get(document, "$", "map<string,variant>")
-
-
-def merge_maps(documents: Iterable[Column]) -> Column:
-    """Documents that are maps as one; a key of several is an error."""
-    maps = [F.coalesce(_keys(d), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))) for d in documents]
+def merge_documents(documents: Iterable[Column]) -> Column:
+    """Documents that are maps as one map, documents that are lists as one list, in their order. A key of several maps,
+    and documents of different kinds, or of other kinds, are errors; where one is null so is the whole."""
+    given = list(documents)
+    maps = [F.try_variant_get(d, "$", "map<string,variant>") for d in given]
+    lists = [F.try_variant_get(d, "$", "array<variant>") for d in given]
+    all_maps, all_lists = F.lit(True), F.lit(True)
+    for m, x in zip(maps, lists, strict=True):
+        all_maps, all_lists = all_maps & m.isNotNull(), all_lists & x.isNotNull()
     keys = F.concat(*[F.map_keys(m) for m in maps])
     twice = F.size(keys) != F.size(F.array_distinct(keys))
-    wrong = F.raise_error(F.lit("input parameters and data share a key")).cast("variant")
-    return F.when(twice, wrong).otherwise(F.to_variant_object(F.map_concat(*maps)))
+
+    def wrong(text: str) -> Column:
+        return F.raise_error(F.lit(text)).cast("variant")
+
+    return (
+        F.when(F.greatest(F.lit(0), *[d.isNull().cast("int") for d in given]) == 1, F.lit(None).cast("variant"))
+        .when(all_maps & twice, wrong("input parameters and data share a key"))
+        .when(all_maps, F.to_variant_object(F.map_concat(*maps)))
+        .when(all_lists, F.to_variant_object(F.concat(*lists)))
+        .otherwise(wrong("input parameters and data are of kinds that don't merge"))
+    )
 
 
 def with_parameters(docs: DataFrame, parameters: DataFrame, document: str = "document") -> DataFrame:
-    """docs with the keys of all parameter documents merged into each document. parameters: documents of a few files;
-    their merged map is one value, which is broadcast as a literal of at most 8 MB of JSON. More than MOST_PARAMETERS
-    documents are an error."""
+    """docs with all parameter documents merged with each document. parameters: documents of a few files; together they
+    are literals of at most 8 MB of JSON. More than MOST_PARAMETERS documents, and ones that couldn't be read, are errors;
+    documents that couldn't be read stay as they are."""
     texts = [r[0] for r in parameters.select(F.to_json(F.col("document"))).limit(MOST_PARAMETERS + 1).collect()]
     if len(texts) > MOST_PARAMETERS:
         raise ValueError(f"more than {MOST_PARAMETERS} documents of input parameters")
-    if sum(map(len, filter(None, texts))) > 8 << 20:
+    if None in texts:
+        raise ValueError("input parameters that can't be read")
+    if sum(map(len, texts)) > 8 << 20:
         raise ValueError("input parameters of more than 8 MB")
-    literals = [F.parse_json(F.lit(t)) for t in texts if t]
-    return docs.withColumn(document, merge_maps([F.col(document), *literals])) if literals else docs
+    literals = [F.parse_json(F.lit(t)) for t in texts]
+    return docs.withColumn(document, merge_documents([*literals, F.col(document)])) if literals else docs
 
 
 def pair_tests(rule_paths: Iterable[str], test_paths: Iterable[str]) -> dict[str, list[str]]:

@@ -2,6 +2,7 @@
 
 import json
 import os
+import time
 import xml.etree.ElementTree as ElementTree
 
 import pytest
@@ -20,7 +21,7 @@ from rulestone.plans.parser import FUNCTIONS as ARITIES
 from rulestone.plans.parser import RuleSyntaxError, parse_rules
 from rulestone.plans.query import UnsupportedRuleError, spellings
 from rulestone.sources import files as files_module
-from rulestone.sources.files import merge_maps, pair_tests, read_rules, scan_documents, scan_texts, texts_of, with_parameters
+from rulestone.sources.files import merge_documents, pair_tests, read_rules, scan_documents, scan_texts, texts_of, with_parameters
 from rulestone.sources.loader import DocumentError, canonical_json, load_documents, load_text
 from rulestone.streaming.stream import stream_results, windowed_tallies
 
@@ -194,7 +195,7 @@ def test_files(spark, tmp_path):
     merged = with_parameters(fine, scan_documents(spark, str(tmp_path / "params.yaml")))
     assert {r[0] for r in evaluate(merged, "rule r { limit == 5 }", [], "document").collect()} == {"PASS"}
     with pytest.raises(Exception, match="share a key"):
-        fine.select(merge_maps([F.col("document"), F.parse_json(F.lit('{"x": 1}'))])).collect()
+        fine.select(merge_documents([F.col("document"), F.parse_json(F.lit('{"x": 1}'))])).collect()
     (tmp_path / "data/d.yml").unlink()
     found, code = api.validate_files(spark, str(tmp_path / "data"), str(tmp_path / "rules"))
     assert code == 19 and {os.path.basename(r["name"]): r["status"] for r in found} == {"b.yaml": "PASS", "a.json": "FAIL"}
@@ -265,6 +266,86 @@ def test_captured_keys(spark):
     assert tuple(evaluate(docs, rules, [], "d").first()) == ("PASS", "PASS")
 
 
+CAPTURES = """
+rule filtered { m[ name | k > 1 ] exists
+ picked.%name == true }
+rule nested { list[*].one[ deep | q == 1 ] !empty
+ %deep == 'b' }
+rule inside { m.* { p[ own ] exists
+ p[ two | this is_int ] exists
+ %own == 'k'
+ %two == 'k' } }
+rule every { m[ all ].k exists
+ %all in ['x', 'y'] }
+"""
+
+
+@pytest.mark.parametrize("typed", [False, True])
+def test_captured_keys_of_filters_elements_and_structs(spark, typed):
+    value = {"m": {"x": {"k": 1, "p": {"k": 1}}, "y": {"k": 2, "p": {"k": 2}}}, "picked": {"y": True}, "list": [{"one": {"a": {"q": 0}, "b": {"q": 1}}}]}
+    docs = spark.createDataFrame([(canonical_json(value),)], "t string")
+    if typed:
+        kind = "struct<m:struct<x:struct<k:int,p:struct<k:int>>,y:struct<k:int,p:struct<k:int>>>,picked:map<string,boolean>,list:array<map<string,map<string,struct<q:int>>>>>"
+        docs, document = docs.select(F.from_json("t", kind).alias("j")).select("j.*"), None
+    else:
+        docs, document = docs.select(F.parse_json("t").alias("d")), "d"
+    found = evaluate(docs, CAPTURES, [], document).first().asDict()
+    assert found == dict.fromkeys(("filtered", "nested", "inside", "every"), "PASS")
+
+
+def test_functions_take_queries_as_arguments(spark):
+    docs = spark.createDataFrame([("abc-def", "-", "b", "x", 1, 3, ["p", "q"], None)], "s string, d string, pat string, into string, a int, z int, l array<string>, no string")
+    rules = """
+let j = join(l, d)
+let r = regex_replace(s, pat, into)
+let c = substring(s, a, z)
+let w = join(l, no)
+rule r { %j == 'p-q'
+ %r == 'x'
+ %c == 'bc' }
+rule w { %w == 'pq' }
+"""
+    assert tuple(evaluate(docs, rules, []).first()) == ("PASS", "ERROR")
+
+
+def test_parameters_merge_by_kind(spark):
+    def merged(*texts):
+        columns = [F.parse_json(F.lit(t)) for t in texts]
+        return spark.range(1).select(F.to_json(merge_documents(columns)).alias("m")).first().m
+
+    assert merged('{"a": 1}', '{"b": [2]}') == '{"a":1,"b":[2]}'
+    assert merged("[1]", "[2, {}]") == "[1,2,{}]"
+    for clash in (("[1]", '{"a": 1}'), ("1", '{"a": 1}'), ("null", '{"a": 1}'), ('{"a": 1}', '{"a": 2}')):
+        with pytest.raises(Exception, match="parameters and data"):
+            merged(*clash)
+    docs = spark.createDataFrame([("bad", None), ("good", '{"x": 1}')], "name string, t string").select("name", F.parse_json("t").alias("document"))
+    found = with_parameters(docs, spark.range(1).select(F.parse_json(F.lit('{"y": 2}')).alias("document"))).select("name", F.to_json("document").alias("t"))
+    assert dict(map(tuple, found.collect())) == {"bad": None, "good": '{"x":1,"y":2}'}
+    with pytest.raises(ValueError, match="can't be read"):
+        with_parameters(docs, docs)
+
+
+@pytest.mark.parametrize("detail", [False, True])
+def test_many_alternatives_are_a_plan_of_their_number(spark, detail):
+    """A plan that doubled with each alternative would not end."""
+    docs = spark.range(50).withColumn("b", F.lit("x"))
+    many = " or ".join(f"id == {i}" for i in range(40))
+    rules = f"rule r {{ {many} }}\nrule n {{ this {{ {many.replace(' or ', ' or this { b == 1 or b == 2 } or ', 13)} }} }}\nrule e {{ id > 100 or id empty or id >= 0 }}"
+    began = time.perf_counter()
+    done = compile_rules(docs, rules, detail=detail)
+    found = done.frame.select("id", *[done.status(r).alias(r) for r in "rne"]).collect()
+    assert time.perf_counter() - began < 60
+    assert all(tuple(r)[1:] == ((1, 1) if r.id < 40 else (2, 2)) + (3,) for r in found)
+
+
+def test_rules_that_do_not_read_each_other_share_a_projection(spark):
+    rules = "let v = l[*]\n" + "\n".join(f"rule r{i} {{ %v == {i} }}" for i in range(30)) + "\nrule last {\n r1\n r2\n}"
+    docs = spark.createDataFrame([([1],)], "l array<int>")
+    done = compile_rules(docs, rules)
+    assert done.frame._jdf.queryExecution().analyzed().toString().count("Project") == 3
+    assert done.frame.select(done.status("last").alias("s")).first().s == 2
+
+
 # -- rule tests
 
 SPECS = """
