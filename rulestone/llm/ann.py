@@ -2,14 +2,17 @@
 
 Largest inner products become nearest points by one more coordinate, which brings all candidates to one length. Vectors
 are projected to a few dimensions by independent Gaussians; the squared length of a projected difference, over that of
-the difference itself, follows a chi-square law. Candidates of a block stand in a kd-tree over the projections and are
-visited by projected distance; each is verified on its original vector, until the chi-square test says that a better one
-than the k-th found would have been met by now with the wanted chance.
+the difference itself, follows a chi-square law. The projected space is cut into cells by one kd-tree. A query first looks
+into its own cell; from what it finds there the chi-square test tells which other cells can hold a better neighbour, and
+it is sent to these alone. Within a cell candidates stand in a kd-tree, are met by projected distance, and are verified on
+their original vectors until the test says that a better one than the k-th found would have been met by now with the
+wanted chance.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 from math import exp
 
 import numpy as np
@@ -21,9 +24,13 @@ from pyspark.sql.window import Window
 from .common import checkpoint
 
 #: Projected dimensions (even), the chance of the stopping test, seed of the Gaussians.
-PROJECTED, CHANCE, SEED = 8, 0.97, 20
-#: Candidates and queries of one block; points of a kd-tree's leaf; leaves verified between two tests.
-BLOCK, QUERY_BLOCK, LEAF, STEP = 16384, 1024, 48, 16
+PROJECTED, CHANCE, SEED = 16, 0.97, 20
+#: Candidates of one part of a cell; queries that meet it in one task; points of a tree's leaf; leaves between two tests.
+BLOCK, QUERY_BLOCK, LEAF, STEP = 16384, 4096, 48, 8
+#: Most projected vectors that the cells are cut by; all vectors are dealt to cells.
+SAMPLE = 65_536
+#: Rows of a table that is broadcast at most; larger ones are joined by a shuffle.
+SMALL_ROWS = 100_000
 
 
 def chi_square(x: float, dimensions: int) -> float:
@@ -44,6 +51,30 @@ def stopping_ratio(chance: float = CHANCE, dimensions: int = PROJECTED) -> float
     return high
 
 
+@dataclass
+class Space:
+    """The projection of vectors of one length: reach is the largest squared length of a candidate."""
+
+    dim: int
+    reach: float
+
+    def __post_init__(self) -> None:
+        self.gaussians = np.random.default_rng([SEED, self.dim]).standard_normal((self.dim + 1, PROJECTED))
+
+    def candidates(self, vectors: np.ndarray) -> np.ndarray:
+        norms = (vectors * vectors).sum(1)
+        return np.c_[vectors, np.sqrt(np.maximum(self.reach - norms, 0))] @ self.gaussians
+
+    def queries(self, vectors: np.ndarray) -> np.ndarray:
+        """Queries are scaled to the candidates' length, which leaves their order; the added coordinate is 0."""
+        lengths = np.sqrt((vectors * vectors).sum(1, keepdims=True))
+        return (vectors * (np.sqrt(self.reach) / lengths)) @ self.gaussians[:-1]
+
+    def far(self, score: float, length: float) -> float:
+        """Squared distance of a candidate with that score from the scaled query."""
+        return max(0.0, 2 * self.reach - 2 * score * np.sqrt(self.reach) / length)
+
+
 @dataclass
 class Tree:
     """order: points leaf by leaf; bounds: first and last place of each leaf; low, high: its box."""
@@ -72,56 +103,103 @@ def build_tree(points: np.ndarray, leaf: int = LEAF) -> Tree:
     return Tree(order, bounds, low, high)
 
 
+@dataclass
+class Cells:
+    """Cuts of a projected space: for each node its axis and value, and its two children, cells being -1 - number."""
+
+    axis: list[int] = field(default_factory=list)
+    value: list[float] = field(default_factory=list)
+    children: list[list[int]] = field(default_factory=list)
+    number: int = 1
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        """The cell of each point."""
+        found = np.zeros(len(points), np.int64)
+        todo = [(0, np.arange(len(points)))] if self.axis else []
+        while todo:
+            node, own = todo.pop()
+            above = points[own, self.axis[node]] > self.value[node]
+            for child, part in zip(self.children[node], (own[~above], own[above]), strict=True):
+                if child < 0:
+                    found[part] = -1 - child
+                elif len(part):
+                    todo.append((child, part))
+        return found
+
+
+def cut_cells(points: np.ndarray, wanted: int) -> Cells:
+    """Cuts at medians of the widest dimensions, largest pieces first, until there are so many cells or no cut is left."""
+    cells = Cells()
+    if not len(points):
+        return cells
+    pieces: list[tuple[int, np.ndarray, tuple[int, int] | None]] = [(len(points), np.arange(len(points)), None)]
+    done: list[tuple[int, int] | None] = []
+    while pieces:
+        pieces.sort(key=lambda p: p[0])
+        n, own, slot = pieces.pop()
+        axis = int(np.argmax(points[own].max(0) - points[own].min(0)))
+        value = float(np.median(points[own, axis]))
+        above = points[own, axis] > value
+        if len(pieces) + len(done) + 2 > wanted or n < 2 or above.all() or not above.any():
+            done.append(slot)
+            continue
+        node = len(cells.axis)
+        cells.axis.append(axis)
+        cells.value.append(value)
+        cells.children.append([0, 0])
+        if slot is not None:
+            cells.children[slot[0]][slot[1]] = node
+        pieces += [(int((~above).sum()), own[~above], (node, 0)), (int(above.sum()), own[above], (node, 1))]
+    for number, slot in enumerate(done):
+        if slot is not None:
+            cells.children[slot[0]][slot[1]] = -1 - number
+    cells.number = len(done)
+    return cells
+
+
 class Block:
-    """Candidates with their tree. Equal vectors are one point, which stands for the ids of all."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, chance: float):
-        # the least ids of each vector come first
-        by_id = np.argsort(ids, kind="stable")
-        self.vectors, first, at, counts = np.unique(vectors[by_id], axis=0, return_index=True, return_inverse=True, return_counts=True)
-        del first
-        self.ids = ids[by_id][np.argsort(at.ravel(), kind="stable")]
-        self.begins = np.r_[0, np.cumsum(counts)]
-        self.norms = (self.vectors * self.vectors).sum(1)
-        self.reach = float(self.norms.max())
-        dims = self.vectors.shape[1] + 1
-        self.gaussians = np.random.default_rng(SEED).standard_normal((dims, PROJECTED))
-        lifted = np.c_[self.vectors, np.sqrt(np.maximum(self.reach - self.norms, 0))]
-        self.tree, self.ratio = build_tree(lifted @ self.gaussians), stopping_ratio(chance)
-
-    def nearest(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[float, int]]:
-        """(score, id) of the k best candidates found other than query_id, ties to smaller ids; all, if fewer."""
-        tree = self.tree
-        # the query is scaled to the candidates' length, which leaves their order; its added coordinate is 0
-        length = np.sqrt(query @ query)
-        shown = (query * (np.sqrt(self.reach) / length)) @ self.gaussians[:-1]
+    """Candidates of one part of a cell with their tree: distinct vectors, each with its least ids in order."""
+
+    def __init__(self, space: Space, vectors: np.ndarray, ids: list[list[int]], chance: float):
+        self.space, self.vectors, self.ids = space, vectors, ids
+        points = space.candidates(vectors)
+        self.tree, self.ratio = build_tree(points), stopping_ratio(chance)
+        self.points = points[self.tree.order]
+
+    def nearest(self, query: np.ndarray, shown: np.ndarray, k: int, far: float = np.inf) -> tuple[list[tuple[float, int]], int]:
+        """(score, id) of the k best found, ties to smaller ids, and how many candidates were verified. shown: the
+        projected query; far: squared distance of the k-th found elsewhere."""
+        tree, length = self.tree, float(np.sqrt(query @ query))
         gap = np.maximum(np.maximum(tree.low - shown, shown - tree.high), 0)
         floor = (gap * gap).sum(1)
         visit = np.argsort(floor, kind="stable")
         # scores of the walk are those of fast matrix products; the best are scored anew, alike for equal vectors
-        points, scores, top, far = [], [], np.empty(0), np.inf
+        points, scores, top, bound = [], [], np.empty(0), far
         for at in range(0, len(visit), STEP):
-            if floor[visit[at]] > self.ratio * far:
+            if floor[visit[at]] > self.ratio * bound:
                 break
-            own = np.concatenate([tree.order[a:b] for a, b in tree.bounds[visit[at : at + STEP]]])
+            own = np.concatenate([np.arange(a, b) for a, b in tree.bounds[visit[at : at + STEP]]])
+            if np.isfinite(bound):
+                near = self.points[own] - shown
+                own = own[(near * near).sum(1) <= self.ratio * bound]
+            own = tree.order[own]
             own_scores = self.vectors[own] @ query
             points.append(own)
             scores.append(own_scores)
             top = np.concatenate([top, own_scores])
-            if len(top) > k:
-                # the query itself may be among the k + 1; squared distance of the last, on the lifted sphere
-                top = np.partition(top, len(top) - k - 1)[len(top) - k - 1 :]
-                far = max(0.0, 2 * self.reach - 2 * float(top.min()) * np.sqrt(self.reach) / length)
+            if len(top) >= k:
+                top = np.partition(top, len(top) - k)[len(top) - k :]
+                bound = min(far, self.space.far(float(top.min()), length))
+        if not points:
+            return [], 0
         every, own = np.concatenate(scores), np.concatenate(points)
-        if len(top) > k:
-            own = own[every >= top.min() - 1e-9 * length * np.sqrt(self.reach)]
+        verified = len(own)
+        if len(top) >= k:
+            own = own[every >= top.min() - 1e-9 * length * np.sqrt(self.space.reach)]
         every = (self.vectors[own] * query).sum(1)
-        best: list[tuple[float, int]] = []
-        for score, point in zip(every.tolist(), own.tolist(), strict=True):
-            ids = self.ids[self.begins[point] : min(self.begins[point + 1], self.begins[point] + k + 1)]
-            best += [(score, int(i)) for i in ids if i != query_id][:k]
+        best = [(score, i) for score, point in zip(every.tolist(), own.tolist(), strict=True) for i in self.ids[point][:k]]
         best.sort(key=lambda x: (-x[0], x[1]))
-        return best[:k]
+        return best[:k], verified
 
 
 def usable(vector: str = "embedding") -> Column:
@@ -131,47 +209,161 @@ def usable(vector: str = "embedding") -> Column:
     return v.isNotNull() & (F.size(v) > 0) & F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0)
 
 
+def _matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
+    flat = column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()
+    return flat.to_numpy(zero_copy_only=False).reshape(rows, -1)
+
+
+def _lists(values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)), pa.array(values.ravel()))
+
+
+def placed(rows: DataFrame, spaces: dict[int, Space], cells: dict[int, Cells], *, queries: bool) -> DataFrame:
+    """rows (id, dim, v and, of candidates, ids) with p, the projected vector, and cell."""
+    ids = F.lit(None).cast("array<long>").alias("ids") if queries else F.col("ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column(1).to_numpy()
+            for dim in np.unique(dims).tolist():
+                own = batch.filter(pa.array(dims == dim))
+                vectors = _matrix(own.column(2), own.num_rows)
+                shown = spaces[dim].queries(vectors) if queries else spaces[dim].candidates(vectors)
+                at = cells.get(dim, Cells()).of(shown)
+                yield pa.RecordBatch.from_arrays([*own.columns, _lists(shown), pa.array(at)], names=["id", "dim", "v", "ids", "p", "cell"])
+
+    return rows.select("id", "dim", "v", ids).mapInArrow(run, "id long, dim int, v array<double>, ids array<long>, p array<double>, cell long")
+
+
+FOUND = "id long, vec_id long, score double, verified long"
+
+
+def _meet(queries: DataFrame, candidates: DataFrame, spaces: dict[int, Space], k: int, chance: float) -> DataFrame:
+    """queries: id, dim, cell, part, v, p, far; candidates: dim, cell, part, v, ids. Each query's best k in that part of
+    its cell: id, vec_id, score, and verified (in one of its rows, 0 in the others; a query that finds nothing has a row
+    with null vec_id). Queries of one part of a cell are dealt out by QUERY_BLOCK."""
+    unit = ["dim", "cell", "part"]
+    counts = queries.groupBy(*unit).agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
+    counts = checkpoint(counts)
+    counts = F.broadcast(counts) if counts.count() <= SMALL_ROWS else counts
+    none = F.lit(None)
+    asking = queries.join(counts, unit).select(
+        *unit, F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", "v", "p", "far", none.cast("array<long>").alias("ids")
+    )
+    offered = candidates.join(counts, unit).select(
+        *unit,
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        none.cast("long").alias("id"),
+        "v",
+        none.cast("array<double>").alias("p"),
+        none.cast("double").alias("far"),
+        "ids",
+    )
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        out: list[tuple[int, int | None, float | None, int]] = []
+        is_query = group.column("id").is_valid().to_numpy()
+        theirs = group.filter(pa.array(~is_query))
+        if is_query.any():
+            own = group.filter(pa.array(is_query))
+            index = None
+            if theirs.num_rows:
+                index = Block(spaces[key[0].as_py()], _matrix(theirs.column("v"), theirs.num_rows), theirs.column("ids").to_pylist(), chance)
+            asked = zip(own.column("id").to_pylist(), _matrix(own.column("v"), own.num_rows), _matrix(own.column("p"), own.num_rows), own.column("far").to_pylist(), strict=True)
+            for name, query, shown, far in asked:
+                best, verified = index.nearest(query, shown, k, np.inf if far is None else far) if index else ([], 0)
+                out += [(name, i, s, 0 if at else verified) for at, (s, i) in enumerate(best)] or [(name, None, None, verified)]
+        columns = list(zip(*out, strict=True)) or [(), (), (), ()]
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "vec_id", "score", "verified"])
+
+    return asking.unionByName(offered).groupBy(*unit, "block").applyInArrow(run, FOUND)
+
+
 def search(vectors: DataFrame, every: int = 20, k: int = 20, chance: float = CHANCE, block: int = BLOCK) -> DataFrame:
     """Queries: rows whose vec_id is divisible by every; candidates: all rows but those of the query's id. Returns
-    query_id, rank (from 1), vec_id, score (inner product in double precision).
+    query_id, rank (from 1), vec_id, score (inner product in double precision), verified (how many distinct candidates
+    were scored for the query).
 
     Vectors that usable() rejects, and rows without vec_id, take no part; vectors are compared with those of as many
     components; repeated rows count once; ties go to the smaller id; a query with fewer candidates gets all; other
     columns are not looked at; an empty table gives an empty one.
 
-    Candidates are dealt by hash of the id into blocks of about `block`, queries into blocks of their own; each block of
-    candidates meets each block of queries in a task of bounded size, and a query's best of all blocks are merged.
+    Equal vectors are one point with its k + 1 least ids, and one query, so a vector that a third of all rows hold is
+    searched once. Cells are cut by at most SAMPLE projected vectors; a cell of more than `block` candidates is dealt out
+    in parts by hash, so each task meets bounded numbers of both sides, and a query's best of all tasks are merged.
     """
     rows = vectors.filter(F.col("vec_id").isNotNull() & usable()).select(
         F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"), F.size("embedding").alias("dim")
     )
     rows = checkpoint(rows.distinct())
-    n = rows.count()
-    blocks, query_blocks = max(1, -(-n // block)), max(1, -(-n // (every * QUERY_BLOCK)))
-    asked = (F.col("vec_id") % every) == 0
-    deal = lambda parts, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(parts)).cast("int")
-    # a query goes to all blocks of candidates, a candidate to all blocks of queries
-    spread = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    queries = rows.filter(asked).withColumn("q", deal(query_blocks, 1)).withColumn("c", spread(blocks)).withColumn("query", F.lit(True))
-    candidates = rows.withColumn("c", deal(blocks, 2)).withColumn("q", spread(query_blocks)).withColumn("query", F.lit(False))
-    both = queries.select("dim", "c", "q", "query", "vec_id", "v").union(candidates.select("dim", "c", "q", "query", "vec_id", "v"))
+    wanted = k + 1  # the query itself may be among them
+    least = F.row_number().over(Window.partitionBy("dim", "v").orderBy("vec_id"))
+    few = rows.withColumn("r", least).filter(F.col("r") <= wanted)
+    points = few.groupBy("dim", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    points = checkpoint(points.withColumn("id", F.monotonically_increasing_id()))
+    asked = rows.filter(F.col("vec_id") % every == 0)
+    distinct = checkpoint(asked.select("dim", "v").distinct().withColumn("id", F.monotonically_increasing_id()))
 
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        is_query = group.column("query").to_numpy()
-        ids = group.column("vec_id").to_numpy()
-        own = group.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        out: list[tuple[int, int, float]] = []
-        if (~is_query).any() and is_query.any():
-            index = Block(ids[~is_query], own[~is_query], chance)
-            for query_id, query in zip(ids[is_query].tolist(), own[is_query], strict=True):
-                out += [(query_id, i, s) for s, i in index.nearest(query_id, query, k)]
-        columns = list(zip(*out, strict=True)) or [(), (), ()]
-        kinds = (pa.int64(), pa.int64(), pa.float64())
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["query_id", "vec_id", "score"])
-
-    found = both.groupBy("dim", "c", "q").applyInArrow(run, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    # a vec_id may stand in several rows
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = once.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    norm = F.aggregate("v", F.lit(0.0), lambda total, x: total + x * x)
+    sizes = {r.dim: (r.reach, r.n) for r in points.groupBy("dim").agg(F.max(norm).alias("reach"), F.count("*").alias("n")).collect()}
+    spaces = {dim: Space(dim, reach) for dim, (reach, _) in sizes.items()}
+    total = sum(n for _, n in sizes.values())
+    share = min(1.0, SAMPLE / max(total, 1))
+    picked = points.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(SAMPLE)
+    sample = placed(picked, spaces, {}, queries=False).select("dim", "p").toArrow()
+    of = sample.column("dim").to_numpy()
+    shown = _matrix(sample.column("p"), sample.num_rows) if sample.num_rows else np.empty((0, PROJECTED))
+    cells = {dim: cut_cells(shown[of == dim], -(-n // block)) for dim, (_, n) in sizes.items()}
+
+    dealt = checkpoint(placed(points, spaces, cells, queries=False))
+    boxes = [F.struct(*[f(F.get("p", F.lit(i))).alias(f"c{i}") for i in range(PROJECTED)]).alias(name) for name, f in (("low", F.min), ("high", F.max))]
+    found = dealt.groupBy("dim", "cell").agg(F.count("*").alias("n"), *boxes).collect()  # at most SAMPLE cells, and one for each length
+    units: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+    for dim in sizes:
+        own = [r for r in found if r.dim == dim]
+        units[dim] = np.array([r.cell for r in own]), np.array([-(-r.n // block) for r in own]), np.array([tuple(r.low) for r in own]), np.array([tuple(r.high) for r in own])
+    shared = rows.sparkSession.sparkContext.broadcast(units)
+    ratio = stopping_ratio(chance)
+    parts = rows.sparkSession.createDataFrame([(r.dim, r.cell, int(-(-r.n // block))) for r in found], "dim int, cell long, parts int")
+    parts = F.broadcast(parts) if len(found) <= SMALL_ROWS else parts
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")
+    candidates = dealt.join(parts, ["dim", "cell"]).select("dim", "cell", part, "v", "ids")
+
+    queries = checkpoint(placed(distinct, spaces, cells, queries=True))
+    home = queries.join(parts, ["dim", "cell"]).select("id", "dim", "cell", part, "v", "p", F.lit(None).cast("double").alias("far"))
+    first = checkpoint(_meet(home, candidates, spaces, wanted, chance))
+    worst = first.groupBy("id").agg(F.when(F.count("vec_id") >= wanted, F.min("score")).alias("worst"))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The other parts of cells that can hold a better neighbour."""
+        for batch in batches:
+            out: list[tuple[int, int, int, int, float | None]] = []
+            for name, dim, query, shown, home_cell, home_part, score in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at, of_cell, low, high = shared.value[dim]
+                length = float(np.sqrt(np.dot(query, query)))
+                far = None if score is None else spaces[dim].far(score, length)
+                gap = np.maximum(np.maximum(low - shown, np.array(shown) - high), 0)
+                open_ = (gap * gap).sum(1) <= ratio * (np.inf if far is None else far)
+                out += [(name, dim, c, p, far) for c, n in zip(at[open_].tolist(), of_cell[open_].tolist(), strict=True) for p in range(n) if (c, p) != (home_cell, home_part)]
+            columns = list(zip(*out, strict=True)) or [(), (), (), (), ()]
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "dim", "cell", "part", "far"])
+
+    at_home = home.select("id", "dim", "v", "p", "cell", "part").join(worst, "id").select("id", "dim", "v", "p", "cell", "part", "worst")
+    routed = checkpoint(at_home.mapInArrow(route, "id long, dim int, cell long, part int, far double"))
+    second = _meet(routed.join(queries.select("id", "v", "p"), "id"), candidates, spaces, wanted, chance)
+
+    both = checkpoint(first.unionByName(second))
+    ranked = F.row_number().over(Window.partitionBy("id").orderBy(F.col("score").desc(), "vec_id"))
+    best = both.filter(F.col("vec_id").isNotNull()).withColumn("at", ranked).filter(F.col("at") <= wanted)
+    best = best.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "vec_id", "score"))).alias("best"))
+    best = best.join(both.groupBy("id").agg(F.sum("verified").alias("verified")), "id").join(distinct, "id").select("dim", "v", "best", "verified")
+    others = F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, k)
+    return (
+        asked.withColumnRenamed("vec_id", "query_id")
+        .join(best, ["dim", "v"])
+        .select("query_id", "verified", others.alias("best"))
+        .select("query_id", "verified", F.posexplode("best").alias("at", "b"))
+        .select("query_id", (F.col("at") + 1).alias("rank"), "b.vec_id", "b.score", "verified")
+    )

@@ -187,6 +187,42 @@ def test_neighbours(spark, monkeypatch):
     given = dict(rows)
     assert all(s == float((np.array(given[q]) * np.array(given[i])).sum()) for q in found for i, s in found[q])
     assert ann.search(df.filter(F.lit(False))).count() == 0
+    everything = ann.search(df, block=500, chance=1 - 1e-12)
+    exact = {}
+    for r in sorted(everything.collect(), key=lambda r: (r.query_id, r["rank"])):
+        exact.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert exact == want
+
+
+def test_cells_and_stopping_leave_most_candidates_out(spark, monkeypatch):
+    """Where vectors have groups, queries are sent to few cells and few candidates are verified; a vector that a third of
+    all rows hold is one point."""
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((40, 32))
+    centres *= 5 / np.sqrt((centres * centres).sum(1, keepdims=True))
+    rows = [(i, (centres[i // 20 % 40] + 0.05 * rng.standard_normal(32)).tolist()) for i in range(4000)]
+    rows += [(10_000 + i, rows[0][1]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 64)
+    found = {}
+    verified = {}
+    for r in ann.search(df, block=256).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        verified[r.query_id] = r.verified
+    want = brute(rows)
+    assert found.keys() == want.keys()
+    hits = sum(len({i for _, i, _ in found[q]} & {i for i, _ in want[q]}) for q in want) / sum(map(len, want.values()))
+    assert hits >= 0.95
+    assert np.mean(list(verified.values())) < 4000 / 3
+    assert sorted(found[10_020])[:3] == [(k + 1, i, s) for k, (i, s) in enumerate(want[10_020][:3])]
+
+
+def test_cells_share_points_evenly():
+    points = np.random.default_rng(4).standard_normal((5000, 4))
+    cells = ann.cut_cells(points, 20)
+    counts = np.bincount(cells.of(points), minlength=cells.number)
+    assert cells.number == 20 and counts.min() > 100 and counts.max() < 400
+    assert ann.cut_cells(np.ones((50, 4)), 8).number == 1 and set(ann.Cells().of(points)) == {0}
 
 
 def test_spaced_letters_are_one_lattice():

@@ -61,6 +61,38 @@ def test_shards(spark, shards):
     assert sharding.assign(table(spark, []), shards).count() == 0
 
 
+def test_shards_can_be_skipped_by_ranges_of_every_dimension(spark):
+    """A filter on one value of a dimension needs few shards: their ranges overlap little."""
+    pick = random.Random(2)
+    rows = [(i, "t", pick.choice("abcd"), f"src{pick.randrange(20):02}", pick.randrange(5000)) for i in range(4000)]
+    found = {r.doc_id: r.shard for r in sharding.assign(table(spark, rows)).collect()}
+    for of in (lambda r: r[2], lambda r: r[3], lambda r: r[4]):
+        ranges = [(min(own), max(own)) for k in range(8) if (own := [of(r) for r in rows if found[r[0]] == k])]
+        values = sorted(map(of, rows))
+        needed = [sum(lo <= v <= hi for lo, hi in ranges) for v in values[:: len(values) // 40]]
+        assert sum(needed) / len(needed) <= 5.2, needed
+    assert sharding.cuts(table(spark, rows))["lang"] == (["b", "c", "d"], [4, 12, 20, 28])
+
+
+def test_a_cell_of_alike_rows_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "MOST_PARTS", 16)
+    rows = [(None, "same", "en", "s", 4)] * 3000 + [(i, None, None, None, None) for i in range(5)]
+    found = sharding.assign(table(spark, rows))
+    counts = [r["count"] for r in found.groupBy("shard").count().collect()]
+    assert len(counts) == 8 and max(counts) - min(counts) <= 1
+    assert found.select("shard", "slot").distinct().count() == len(rows)
+
+
+def test_written_shards_hold_every_row(spark, tmp_path):
+    rows = make(3, 40) + [(None, "no id", "en", "s", 5), (None, "no id", "en", "s", 5), (7, "twice", "en", "s", 5), (7, "other", "en", "s", 5)]
+    docs = table(spark, rows).withColumnRenamed("n", "shard")
+    sharding.write_shards(docs, str(tmp_path / "shards"), 4)
+    found = spark.read.parquet(str(tmp_path / "shards"))
+    counts = [r["count"] for r in found.groupBy("_shard").count().collect()]
+    assert len(counts) == 4 and max(counts) - min(counts) <= 1
+    assert sorted(map(repr, found.select(*docs.columns).collect())) == sorted(map(repr, docs.collect()))
+
+
 def canon(text):
     folded = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
     return re.sub(r"\s+", " ", folded).strip(" ")
