@@ -3,8 +3,8 @@
 Largest inner products become nearest points by one more coordinate, which brings all candidates to one length. Vectors
 are projected to a few dimensions by independent Gaussians; the squared length of a projected difference, over that of
 the difference itself, follows a chi-square law. The projected space is cut into cells by one kd-tree. A query first looks
-into its own cell; from what it finds there the chi-square test tells which other cells can hold a better neighbour, and
-it is sent to these alone. Within a cell candidates stand in a kd-tree, are met by projected distance, and are verified on
+into the cells nearest to it; from what it finds there the chi-square test tells which others can hold a better neighbour,
+and it is sent to these alone. Within a cell candidates stand in a kd-tree, are met by projected distance, and are verified on
 their original vectors until the test says that a better one than the k-th found would have been met by now with the
 wanted chance.
 """
@@ -27,6 +27,8 @@ from .common import checkpoint
 PROJECTED, CHANCE, SEED = 16, 0.97, 20
 #: Candidates of one part of a cell; queries that meet it in one task; points of a tree's leaf; leaves between two tests.
 BLOCK, QUERY_BLOCK, LEAF, STEP = 16384, 4096, 48, 8
+#: Cells that a query looks into at first.
+PROBES = 4
 #: Most projected vectors that the cells are cut by; all vectors are dealt to cells.
 SAMPLE = 65_536
 #: Rows of a table that is broadcast at most; larger ones are joined by a shuffle.
@@ -330,32 +332,43 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, chance: float = CHA
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")
     candidates = dealt.join(parts, ["dim", "cell"]).select("dim", "cell", part, "v", "ids")
 
-    queries = checkpoint(placed(distinct, spaces, cells, queries=True))
-    home = queries.join(parts, ["dim", "cell"]).select("id", "dim", "cell", part, "v", "p", F.lit(None).cast("double").alias("far"))
-    first = checkpoint(_meet(home, candidates, spaces, wanted, chance))
-    worst = first.groupBy("id").agg(F.when(F.count("vec_id") >= wanted, F.min("score")).alias("worst"))
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The other parts of cells that can hold a better neighbour."""
-        for batch in batches:
-            out: list[tuple[int, int, int, int, float | None]] = []
-            for name, dim, query, shown, home_cell, home_part, score in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                at, of_cell, low, high = shared.value[dim]
-                length = float(np.sqrt(np.dot(query, query)))
-                far = None if score is None else spaces[dim].far(score, length)
-                gap = np.maximum(np.maximum(low - shown, np.array(shown) - high), 0)
-                open_ = (gap * gap).sum(1) <= ratio * (np.inf if far is None else far)
-                out += [(name, dim, c, p, far) for c, n in zip(at[open_].tolist(), of_cell[open_].tolist(), strict=True) for p in range(n) if (c, p) != (home_cell, home_part)]
-            columns = list(zip(*out, strict=True)) or [(), (), (), (), ()]
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "dim", "cell", "part", "far"])
-
-    at_home = home.select("id", "dim", "v", "p", "cell", "part").join(worst, "id").select("id", "dim", "v", "p", "cell", "part", "worst")
-    routed = checkpoint(at_home.mapInArrow(route, "id long, dim int, cell long, part int, far double"))
-    second = _meet(routed.join(queries.select("id", "v", "p"), "id"), candidates, spaces, wanted, chance)
+    queries = checkpoint(placed(distinct, spaces, cells, queries=True).select("id", "dim", "v", "p"))
+
+    def routed(asking: DataFrame, first: bool) -> DataFrame:
+        """id, dim, cell, part, far for each part of a cell that a query goes to: the nearest at first, then all others
+        that can hold a better neighbour than the worst it has."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out: list[tuple[int, int, int, int, float | None]] = []
+                for name, dim, query, shown, score in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    at, of_cell, low, high = shared.value[dim]
+                    gap = np.maximum(np.maximum(low - shown, np.array(shown) - high), 0)
+                    floor = (gap * gap).sum(1)
+                    nearest = np.argsort(floor, kind="stable")[:PROBES].tolist()
+                    probed = {(int(at[c]), name % int(of_cell[c])) for c in nearest}
+                    if first:
+                        out += [(name, dim, c, p, None) for c, p in sorted(probed)]
+                        continue
+                    far = None if score is None else spaces[dim].far(score, float(np.sqrt(np.dot(query, query))))
+                    open_ = floor <= ratio * (np.inf if far is None else far)
+                    out += [(name, dim, c, p, far) for c, n in zip(at[open_].tolist(), of_cell[open_].tolist(), strict=True) for p in range(n) if (c, p) not in probed]
+                columns = list(zip(*out, strict=True)) or [(), (), (), (), ()]
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "dim", "cell", "part", "far"])
+
+        return checkpoint(asking.select("id", "dim", "v", "p", "worst").mapInArrow(run, "id long, dim int, cell long, part int, far double"))
+
+    def meet(asking: DataFrame, first: bool) -> DataFrame:
+        return _meet(routed(asking, first).join(queries.select("id", "v", "p"), "id"), candidates, spaces, wanted, chance)
+
+    first = checkpoint(meet(queries.withColumn("worst", F.lit(None).cast("double")), True))
+    ranked = F.row_number().over(Window.partitionBy("id").orderBy(F.col("score").desc(), "vec_id"))
+    best = first.filter(F.col("vec_id").isNotNull()).withColumn("at", ranked).filter(F.col("at") <= wanted)
+    worst = best.groupBy("id").agg(F.when(F.count("*") == wanted, F.min("score")).alias("worst"))
+    second = meet(queries.join(worst, "id", "left"), False)
 
     both = checkpoint(first.unionByName(second))
-    ranked = F.row_number().over(Window.partitionBy("id").orderBy(F.col("score").desc(), "vec_id"))
     best = both.filter(F.col("vec_id").isNotNull()).withColumn("at", ranked).filter(F.col("at") <= wanted)
     best = best.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "vec_id", "score"))).alias("best"))
     best = best.join(both.groupBy("id").agg(F.sum("verified").alias("verified")), "id").join(distinct, "id").select("dim", "v", "best", "verified")
