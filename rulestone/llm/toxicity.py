@@ -12,6 +12,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cache
 from math import exp, lgamma, log, sqrt
 
 import numpy as np
@@ -36,7 +37,7 @@ STAND_IN, DROPPED_SIGN, DROPPED_STAND_IN, DROPPED_REPEAT = -1.5, -0.7, -2.5, -0.
 EDGES = (0.0, -2.0, -4.0)
 #: Prefixes of words that are features, by length; a word itself is one too.
 STEMS = (4, 5, 6)
-#: Most labelled documents that the scorer is fitted on: those of least hash of doc_id. The language model takes all.
+#: Most labelled documents, and texts of these, that the scorer is fitted on: those of least hash. The language model takes all.
 SAMPLE = 10_000
 #: Lower bound of a proportion: standard deviations below.
 SURE = 1.64
@@ -83,12 +84,25 @@ def symbol(character: str) -> int:
     return int(_SYMBOLS[code]) if code < 256 else 27 * character.isalpha()
 
 
+@cache
+def _symbols() -> np.ndarray:
+    """symbol() of every code point."""
+    return np.fromiter((symbol(chr(code)) for code in range(0x110000)), np.uint8, 0x110000)
+
+
+def symbols(text: str) -> np.ndarray:
+    """symbol() of each character."""
+    if text.isascii():
+        return _SYMBOLS[np.frombuffer(text.encode(), np.uint8)]
+    return _symbols()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+
+
 def count_trigrams(texts: Iterable[str]) -> np.ndarray:
     """Counts of all runs of three symbols, by first * SIZE**2 + second * SIZE + third; each text begins and ends with
     edges."""
     found = np.zeros(SIZE**3, np.int64)
     for text in texts:
-        own = _SYMBOLS[np.frombuffer(("  " + text + "  ").encode("latin-1", "replace"), np.uint8)].astype(np.int32)
+        own = symbols(f"  {text}  ").astype(np.int32)
         runs = (own[:-2] * SIZE + own[1:-1]) * SIZE + own[2:]
         if len(runs) > SIZE**3 // 8:
             found += np.bincount(runs, minlength=SIZE**3)
@@ -261,20 +275,41 @@ class Scorer:
         return 1.0 - (1.0 - self.base) * exp(-total)
 
 
-def distinct_texts(sample: list[tuple[str, int]]) -> list[tuple[str, int]]:
-    """Without texts that share a minimum of one of four hashes over five-word shingles with an earlier text of their
-    label, so that a group of near copies counts about once."""
-    seen: set[tuple[int, int, int]] = set()
-    kept = []
-    for text, label in sample:
-        words = text.lower().split()
-        shingles = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
-        hashes = np.fromiter((xxhash.xxh64_intdigest(s) for s in shingles), np.uint64, len(shingles))
-        marks = {(label, k, int((hashes * np.uint64(m)).min())) for k, m in enumerate(_MIX)}
-        if not marks & seen:
-            kept.append((text, label))
-        seen |= marks
-    return kept
+def features_of(texts: DataFrame, counts: np.ndarray) -> DataFrame:
+    """texts: key, label, text. Returns key, label, marks (four minima of hashes over five-word shingles), features
+    (hashes of the text's) and names (the same features by name, of toxic texts only)."""
+    model = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer = Restorer(LanguageModel(model.value))
+        for batch in batches:
+            marks, features, names = [], [], []
+            for label, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                own = {xxhash.xxh64_intdigest(f): f for token in restorer.tokens(text) for f in restorer.features(token)}
+                features.append(np.fromiter(own, np.uint64, len(own)).view(np.int64))
+                names.append(list(own.values()) if label else None)
+                marks.append(marks_of(text).view(np.int64))
+            columns = [pa.array(marks, pa.list_(pa.int64())), pa.array(features, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["key", "label", "marks", "features", "names"])
+
+    return texts.select("key", "label", "text").mapInArrow(run, "key long, label int, marks array<long>, features array<long>, names array<string>")
+
+
+def marks_of(text: str) -> np.ndarray:
+    """The least of each of four hashes over a text's five-word shingles."""
+    words = text.lower().split()
+    shingles = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    hashes = np.fromiter((xxhash.xxh64_intdigest(s) for s in shingles), np.uint64, len(shingles))
+    return np.array([(hashes * np.uint64(m)).min() for m in _MIX], np.uint64)
+
+
+def without_copies(found: DataFrame) -> DataFrame:
+    """Rows of features_of() but those that share a mark with one of their label and smaller key, so that a group of near
+    copies counts about once. Groups are pre-aggregated to their least key."""
+    each = found.select("key", "label", F.posexplode("marks").alias("which", "mark"))
+    least = each.groupBy("label", "which", "mark").agg(F.min("key").alias("least"))
+    later = each.join(least, ["label", "which", "mark"]).filter(F.col("key") > F.col("least")).select("key").distinct()
+    return found.join(later, "key", "left_anti")
 
 
 def chance_of(n: int, t: int, share: float) -> float:
@@ -282,48 +317,55 @@ def chance_of(n: int, t: int, share: float) -> float:
     return sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * log(share) + (n - k) * log(1 - share)) for k in range(t, n + 1))
 
 
-def weigh(sample: list[tuple[np.ndarray, int]], sure: np.ndarray) -> dict[int, float]:
-    """sample: hashes of each text's features, and labels. Weights of the features that count, by the texts without any
-    of the sure ones. Features that occur in n documents are compared with each other: of those with t or more toxic
-    ones, the share that chance alone would give is false. A feature counts if that share is under FALSE; its weight
-    follows the lower bound of its share of toxic documents."""
-    left = [(own, label) for own, label in sample if not np.isin(own, sure).any()]
-    if not any(label for _, label in left):
-        return {}
-    share = (sum(label for _, label in left) + 0.5) / (len(left) + 1)
-    every, n_of = np.unique(np.concatenate([own for own, _ in left]), return_counts=True)
-    number = np.bincount(n_of)
-    toxic, t_of = np.unique(np.concatenate([own for own, label in left if label]), return_counts=True)
-    n_of = n_of[np.searchsorted(every, toxic)]
-    weights = {}
-    for n in np.unique(n_of[t_of > 1]).tolist():
-        here, reached = n_of == n, 0
-        for t in sorted(set(t_of[here].tolist()), reverse=True):
+def weights_of(number: dict[int, int], toxic: dict[int, dict[int, list[int]]], share: float) -> dict[int, float]:
+    """number: how many features occur in n documents; toxic: of these, features by how many toxic documents have them.
+    Features that occur in n documents are compared with each other: of those with t or more toxic ones, the share that
+    chance alone would give is false. A feature counts if that share is under FALSE; its weight follows the lower bound of
+    its share of toxic documents."""
+    weights: dict[int, float] = {}
+    for n, by_count in toxic.items():
+        reached = 0
+        for t in sorted(by_count, reverse=True):
             if t < 2 or t <= max(0.5, share) * n:
                 break
-            found = toxic[here & (t_of == t)].tolist()
-            reached += len(found)
-            false = min(1.0, int(number[n]) * chance_of(n, t, share) / reached)
+            reached += len(by_count[t])
+            false = min(1.0, number[n] * chance_of(n, t, share) / reached)
             if false < FALSE:
                 p, z = t / n, SURE
                 low = (p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-                weights |= dict.fromkeys(found, -log(1 - min(low * (1 - false), 0.999)))
+                weights |= dict.fromkeys(by_count[t], -log(1 - min(low * (1 - false), 0.999)))
     return weights
 
 
-def fit(sample: list[tuple[str, int]], counts: np.ndarray) -> Scorer:
-    """sample: whole texts and labels. Features that make a document toxic almost surely are taken first; the others are
-    weighed on the documents that have none of them, so that company of sure ones doesn't count for them. Only features
-    of toxic documents are held by name, the others as hashes."""
-    restorer, names, hashed = Restorer(LanguageModel(counts)), {}, []
-    for text, label in distinct_texts(sample):
-        own = {xxhash.xxh64_intdigest(f): f for token in restorer.tokens(text) for f in restorer.features(token)}
-        hashed.append((np.fromiter(own, np.uint64, len(own)), label))
-        if label:
-            names |= own
-    sure = {f: w for f, w in weigh(hashed, np.empty(0, np.uint64)).items() if w >= -log(1 - SURELY)}
-    found = weigh(hashed, np.fromiter(sure, np.uint64, len(sure))) | sure
-    return Scorer(counts, {names[f]: w for f, w in found.items()})
+def weigh(found: DataFrame, sure: list[int]) -> dict[int, float]:
+    """Weights of the features that count, by the texts without any of the sure ones. Features are counted in Spark; what
+    comes to the driver are numbers of features by number of documents, and those that most often stand in toxic ones."""
+    left = found.filter(~F.arrays_overlap("features", F.lit(sure).cast("array<long>"))) if sure else found
+    n, toxic = left.agg(F.count("*"), F.sum("label")).first()
+    if not toxic:
+        return {}
+    share = (toxic + 0.5) / (n + 1)
+    counted = checkpoint(left.select("label", F.explode("features").alias("feature")).groupBy("feature").agg(F.count("*").alias("n"), F.sum("label").alias("t")))
+    number = {r.n: r.number for r in counted.groupBy("n").agg(F.count("*").alias("number")).collect()}
+    often: dict[int, dict[int, list[int]]] = {}
+    for r in counted.filter((F.col("t") > 1) & (F.col("t") > max(0.5, share) * F.col("n"))).toLocalIterator():
+        often.setdefault(r.n, {}).setdefault(r.t, []).append(r.feature)
+    return weights_of(number, often, share)
+
+
+def fit(texts: DataFrame, counts: np.ndarray) -> Scorer:
+    """texts: key, label, text. Features that make a document toxic almost surely are taken first; the others are weighed
+    on the documents that have none of them, so that company of sure ones doesn't count for them."""
+    found = checkpoint(without_copies(checkpoint(features_of(texts, counts))))
+    sure = {f: w for f, w in weigh(found, []).items() if w >= -log(1 - SURELY)}
+    weights = weigh(found, sorted(sure)) | sure
+    if not weights:
+        return Scorer(counts, {})
+    named = found.filter("names is not null").select(F.explode(F.arrays_zip("features", "names")).alias("f")).select("f.features", "f.names")
+    names = named.filter(F.array_contains(F.lit(sorted(weights)).cast("array<long>"), F.col("features"))) if len(weights) < 64 else named.join(
+        F.broadcast(found.sparkSession.createDataFrame([(f,) for f in weights], "features long")), "features", "left_semi"
+    )
+    return Scorer(counts, {r.names: weights[r.features] for r in names.distinct().toLocalIterator()})
 
 
 def gather_trigrams(docs: DataFrame) -> np.ndarray:
@@ -344,17 +386,24 @@ def gather_trigrams(docs: DataFrame) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
-    """labels: doc_id, toxic. Rows that held_out() marks are never learnt from; the language model takes all texts."""
+    """labels: doc_id, toxic. Rows that held_out() marks are never learnt from; the language model takes all texts. The
+    scorer is fitted on at most sample texts, those of least hash, whatever the number of rows that share an id; texts
+    themselves don't come to the driver."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    picked = known.select(F.col("doc_id").cast("long").alias("of"), F.col("toxic").cast("int").alias("toxic"))
-    picked = F.broadcast(checkpoint(picked.orderBy(F.xxhash64("of"), "of", "toxic").limit(sample)))  # sample rows at most
-    texts = docs.join(picked, docs["doc_id"] == picked["of"]).select(text_or_empty().alias("text"), picked["toxic"])
-    rows = [(r.text, r.toxic) for r in texts.toLocalIterator()]
-    return fit(rows, gather_trigrams(docs))
+    picked = known.select(F.col("doc_id").cast("long").alias("_of"), F.col("toxic").cast("int").alias("_toxic"))
+    picked = F.broadcast(checkpoint(picked.orderBy(F.xxhash64("_of"), "_of", "_toxic").limit(sample)))  # sample rows at most
+    text = text_or_empty()
+    joined = docs.join(picked, docs["doc_id"] == picked["_of"]).select(F.xxhash64(text, picked["_toxic"]).alias("key"), picked["_toxic"].alias("label"), text.alias("text"))
+    texts = checkpoint(joined.dropDuplicates(["key"]))
+    if texts.count() > sample:
+        least = texts.select(F.col("key").alias("_key")).orderBy("_key").limit(sample)
+        texts = texts.join(F.broadcast(least), F.col("key") == F.col("_key"), "left_semi")
+    return fit(texts, gather_trigrams(docs))
 
 
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """docs with toxicity (0 to 1) of the whole text; a null or empty text has the base score. Other columns are passed
+    """docs with toxicity (0 to 1) of the whole text; a null or empty text has the base score, and a very long one counts
+    by all its distinct tokens, which a worker holds one text at a time. Repeated rows get the same score each. Other columns are passed
     on, but for one named toxicity; the score looks at the text alone. One pass over the texts without a shuffle."""
     model = docs.sparkSession.sparkContext.broadcast(scorer)
 

@@ -21,14 +21,14 @@ def table(spark, rows):
 def plain_trigrams(texts):
     found = np.zeros(toxicity.SIZE**3, int)
     for text in texts:
-        own = [toxicity.symbol(c) if ord(c) < 256 else 0 for c in f"  {text}  "]
+        own = [toxicity.symbol(c) for c in f"  {text}  "]
         for a, b, c in zip(own, own[1:], own[2:], strict=False):
             found[(a * toxicity.SIZE + b) * toxicity.SIZE + c] += 1
     return found
 
 
 def test_trigrams_of_all_documents(spark):
-    texts = ["An éß ñ 1", "", None, "x" * 9000, "łódź"]
+    texts = ["An éß ñ 1", "", None, "x" * 9000, "łódź", "москва 東京 😀 ſ", "\u0131d\u00b2"]
     counts = toxicity.gather_trigrams(table(spark, [(i, t, "s") for i, t in enumerate(texts)]))
     assert (counts == plain_trigrams(t or "" for t in texts)).all()
 
@@ -84,6 +84,69 @@ def test_disguised_words_are_caught_and_others_left(spark):
     assert np.mean([(scorer.score(t) >= toxicity.THRESHOLD) == bool(y) for t, y in held]) > 0.97
 
 
+def plain_scorer(sample, counts):
+    """The scorer by a plain walk over all labelled texts."""
+    restorer = toxicity.Restorer(toxicity.LanguageModel(counts))
+    kept, seen = [], set()
+    for _, label, text in sorted(sample):
+        marks = {(label, k, m) for k, m in enumerate(toxicity.marks_of(text).tolist())}
+        if not marks & seen:
+            kept.append(({f for token in restorer.tokens(text) for f in restorer.features(token)}, label))
+        seen |= marks
+
+    def weigh(sure):
+        left = [(own, label) for own, label in kept if not own & sure]
+        toxic = sum(label for _, label in left)
+        share = (toxic + 0.5) / (len(left) + 1)
+        counted = {}
+        for own, label in left:
+            for f in own:
+                n, t = counted.get(f, (0, 0))
+                counted[f] = n + 1, t + label
+        found = {}
+        for f, (n, t) in counted.items():
+            if t < 2 or t <= max(0.5, share) * n:
+                continue
+            number = sum(m == n for m, _ in counted.values())
+            reached = sum(m == n and u >= t for m, u in counted.values())
+            false = min(1.0, number * toxicity.chance_of(n, t, share) / reached)
+            if false < toxicity.FALSE:
+                p, z = t / n, toxicity.SURE
+                low = (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+                found[f] = -np.log(1 - min(low * (1 - false), 0.999))
+        return found
+
+    sure = {f: w for f, w in weigh(set()).items() if w >= -np.log(1 - toxicity.SURELY)}
+    return weigh(set(sure)) | sure
+
+
+def test_weights_and_scores_against_a_plain_walk(spark):
+    rows, labels = corpus(240)
+    rows += [(5000 + i, rows[8 * i][1], "s") for i in range(12)] + [(8, rows[8][1], "s"), (8, rows[9][1] + " moron", "s")]
+    labels += [(5000 + i, 1) for i in range(12)] + [(9999, 1), (None, 1)]
+    docs = table(spark, rows)
+    scorer = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    known = {}
+    for i, y in labels:
+        if i is not None and zlib.crc32(str(i).encode()) % 3 != 1:
+            known.setdefault(i, set()).add(y)
+    keyed = docs.select("doc_id", "text", *[F.xxhash64("text", F.lit(y)).alias(f"key{y}") for y in (0, 1)]).collect()
+    sample = {(r[f"key{y}"], y, r.text) for r in keyed for y in known.get(r.doc_id, ())}
+    want = plain_scorer(sample, toxicity.gather_trigrams(docs))
+    assert scorer.weights.keys() == want.keys() and len(want) >= 3
+    assert all(scorer.weights[f] == pytest.approx(w) for f, w in want.items())
+    for r in toxicity.score(docs, scorer).collect():
+        tokens = scorer.restorer.tokens(r.text)
+        total = sum(max((want.get(f, 0.0) for f in scorer.restorer.features(t)), default=0.0) for t in tokens)
+        assert r.toxicity == "x" or r.toxicity == pytest.approx(1 - (1 - scorer.base) * np.exp(-total))
+
+
+def test_a_sample_bounds_texts_of_one_id(spark):
+    rows = [(4, f"text number {i}", "s") for i in range(60)] + [(5, "another", "s")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    assert toxicity.train(table(spark, rows), labels, sample=20).weights == {}
+
+
 def test_toxicity_stage_keeps_columns(spark):
     rows, labels = corpus(300)
     docs = table(spark, rows + [(None, None, None), (7001, "", "s")] + rows[:1])
