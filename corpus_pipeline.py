@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rulestone.llm import linededup, packing, quality, simhash, toxicity
-from rulestone.llm.common import shared_folder, table
+from rulestone.llm.common import checkpoint, remove, shared_folder, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -48,11 +48,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; what stands between two of them goes to the shared folder."""
+    """All stages over the documents of sf_dir. What stands between two of them goes to the shared folder and is removed
+    once the next has been written; the last stage's rows are a checkpoint."""
     docs = table(spark, sf_dir, "documents")
     folder = shared_folder(spark)
+    before = None
     for name, stage in STAGES[:-1]:
         path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
         docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before is not None:
+            remove(spark, before)
+        before = path
+    packed = checkpoint(STAGES[-1][1](spark, docs, sf_dir))
+    remove(spark, folder)
+    return packed

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, text_or_empty
+from .common import checkpoint, fresh, text_or_empty
 
 WINDOW = 3
 _BLANK = " \t\r\x0b\f"
@@ -66,7 +66,8 @@ def removals(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     spared = F.when(own & (gap < width), F.lit(width) - gap).otherwise(0)
     later = every.join(repeated, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2"))).filter(~(own & (gap == 0)))
     covered = F.slice("covers", spared + 1, F.lit(width))
-    return later.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list(covered)).alias("gone"))
+    # rows alike in id and text have the same windows, each of which is gathered once, before the shuffle already
+    return later.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_set(covered)).alias("gone"))
 
 
 def drop_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -75,27 +76,29 @@ def drop_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
 
     Lines are compared without white space around them; lines of white space alone are never part of a window and stay.
     A text of fewer solid lines than a window stays as it is, and so do null and empty texts. Rows alike in id and text
-    count as one document; a null doc_id comes before all others. Other columns are passed on, but for any named
-    n_lines or n_removed.
+    count as one document; a null doc_id comes before all others. A very long text has as many windows as lines, which are
+    dealt out by hash, and is cut as a whole where it stands. Other columns are passed on, but for any named n_lines or
+    n_removed; an empty table gives an empty one.
 
     Windows of all texts are shuffled as hashes; first occurrences are pre-aggregated, so a passage that a third of all
     documents share is one row for each task; texts are shuffled once, to meet what is removed from them.
     """
-    gone = removals(docs, width).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash"), "gone")
-    gone = gone.withColumnRenamed("gone", "_gone")
+    of_id, of_hash, gone, lost, lines = fresh(docs.columns, "_of_id", "_of_hash", "_gone", "_lost", "_lines")
+    found = removals(docs, width).select(F.col("doc_id").alias(of_id), F.col("text_hash").alias(of_hash), F.col("gone").alias(gone))
     doc_id, text_hash = _document()
     text = text_or_empty()
-    joined = docs.join(gone, doc_id.eqNullSafe(gone["_gone_id"]) & (text_hash == gone["_gone_hash"]), "left")
-    staying = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_lost"))
-    kept = F.array_join(F.transform(staying, lambda i: F.get(F.col("_lines"), i)), "\n")
-    cut = F.when(F.size("_lost") == F.size("_lines"), "").otherwise(kept)
+    joined = docs.join(found, doc_id.eqNullSafe(F.col(of_id)) & (text_hash == F.col(of_hash)), "left")
+    staying = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(lost))
+    kept = F.array_join(F.transform(staying, lambda i: F.get(F.col(lines), i)), "\n")
+    cut = F.when(F.size(lost) == F.size(lines), "").otherwise(kept)
+    cut = F.when(F.col(lost).isNull(), F.col("text")).otherwise(cut)
     return (
-        joined.withColumn("_lost", F.array_distinct("_gone"))
-        .withColumn("_lines", F.when(F.col("_lost").isNotNull(), _lines()))
+        joined.withColumn(lost, F.array_distinct(gone))
+        .withColumn(lines, F.when(F.col(lost).isNotNull(), _lines()))
         .select(
-            *[F.when(F.col("_lost").isNull(), F.col("text")).otherwise(cut).alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")],
+            *[cut.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")],
             (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("n_lines"),
-            F.coalesce(F.size("_lost"), F.lit(0)).alias("n_removed"),
+            F.coalesce(F.size(lost), F.lit(0)).alias("n_removed"),
         )
     )
 

@@ -91,12 +91,15 @@ def fit(rows: np.ndarray, labels: np.ndarray, ridge: float = 1.0) -> Classifier:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
     """labels: doc_id, quality. Rows that held_out() marks are never learnt from. What comes to the driver is the
-    evidence (numbers) of at most sample rows."""
+    evidence (numbers) of at most sample rows, those of least hash of id and text, however many share an id; rows alike
+    in both count once."""
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     picked = known.select(F.col("doc_id").cast("long").alias("_of"), F.col("quality").cast("double").alias("_quality"))
     picked = F.broadcast(checkpoint(picked.orderBy(F.xxhash64("_of"), "_of", "_quality").limit(sample)))  # sample rows at most
     found = evidence()
-    rows = docs.join(picked, docs["doc_id"] == picked["_of"]).select("_quality", *[c.cast("double").alias(k) for k, c in found.items()])
+    key = F.xxhash64(picked["_of"], text_or_empty(), picked["_quality"]).alias("_row")
+    rows = docs.join(picked, docs["doc_id"] == picked["_of"]).select(key, picked["_quality"], *[c.cast("double").alias(k) for k, c in found.items()])
+    rows = rows.dropDuplicates(["_row"]).orderBy("_row").limit(sample).drop("_row")
     values = np.array([tuple(r) for r in rows.toLocalIterator()], float).reshape(-1, len(found) + 1)
     return fit(values[:, 1:], values[:, 0])
 
@@ -141,7 +144,8 @@ def assess(docs: DataFrame, classifier: Classifier, host: Column | None = None,
     1 from the threshold on), and keys (columns of docs, none by default).
 
     By default documents' source is the host and their language within it the path. A null host or path is a site of its
-    own; a null text is empty; repeated rows count as often as they stand; other columns are not looked at; an empty
+    own; a null text is empty, and a very long one is one row of numbers like any other; repeated rows count as often as
+    they stand; other columns are not looked at; an empty
     table gives an empty one. Texts are read once and not shuffled; sites are pre-aggregated and joined to numbers only;
     a host of very many documents is split by Spark's skew handling, or its table is small and broadcast.
     """

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, text_or_empty
+from .common import checkpoint, fresh, text_or_empty
 from .components import components
 
 BUDGET, SHINGLE = 4, 4
@@ -267,11 +267,13 @@ def _row() -> list[Column]:
 
 
 def _rows_of(docs: DataFrame, named: DataFrame) -> DataFrame:
-    """docs joined with named (first and more): the rows that first names. Columns of named come as _first and so on."""
-    named = named.select(*[F.col(c).alias(f"_{c}") for c in named.columns])
-    named = F.broadcast(named) if named.count() <= SMALL_ROWS else named
+    """docs joined with named (first and more): the rows that first names, with all columns of named in one, the last."""
+    key, by = fresh(docs.columns, "_first", "_by")
+    own = named.select(F.col("first").alias(key), F.struct(*named.columns).alias(by))
+    own = F.broadcast(own) if own.count() <= SMALL_ROWS else own
     doc_id, h1, h2 = _row()
-    return docs.join(named, (h1 == F.col("_first.h1")) & (h2 == F.col("_first.h2")) & doc_id.eqNullSafe(F.col("_first.doc_id")))
+    first = F.col(key)
+    return docs.join(own, (h1 == first["h1"]) & (h2 == first["h2"]) & doc_id.eqNullSafe(first["doc_id"])).select(*[F.col(f"`{c}`") for c in docs.columns], F.col(by))
 
 
 def _verify_groups(budget: int, shingle: int):
@@ -324,7 +326,9 @@ def verified_links(docs: DataFrame, texts: DataFrame, budget: int, shingle: int,
     sizes = F.broadcast(sizes) if sizes.count() <= SMALL_ROWS else sizes
     parts = F.ceil(F.col("count") / chunk).cast("int")
     suspects = checkpoint(groups.join(sizes, F.col("group") == F.col("sized")).select("node", "fp", "first", "group", parts.alias("parts")))
-    read = _rows_of(docs, suspects).select("_node", "_fp", "_group", "_parts", text_or_empty().alias("text"))
+    read = _rows_of(docs.select("doc_id", "text"), suspects)
+    by = F.col(read.columns[-1])
+    read = read.select(*[by[c].alias(f"_{c}") for c in ("node", "fp", "group", "parts")], text_or_empty().alias("text"))
     own = F.pmod(F.xxhash64("_node"), F.col("_parts")).cast("int")
     read = read.dropDuplicates(["_node"])  # rows may repeat
     dealt = read.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
@@ -346,5 +350,6 @@ def keep_one(docs: DataFrame, budget: int = BUDGET_AT_08, shingle: int = SHINGLE
     named = texts.join(found.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left")
     stay = checkpoint(named.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first")).select("first"))
     doc_id, h1, h2 = _row()
-    kept = _rows_of(docs, stay).withColumns({"_h1": h1, "_h2": h2}).dropDuplicates(["doc_id", "_h1", "_h2"])
-    return kept.select(*docs.columns)
+    keys = fresh([*docs.columns, *fresh(docs.columns, "_by")], "_id", "_h1", "_h2")
+    kept = _rows_of(docs, stay).withColumns(dict(zip(keys, (doc_id, h1, h2), strict=True))).dropDuplicates(keys)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

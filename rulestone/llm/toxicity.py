@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, held_out, text_or_empty
+from .common import checkpoint, fresh, held_out, text_or_empty
 
 #: Letters that a character may stand for, besides itself.
 LOOKS_LIKE = {
@@ -418,7 +418,8 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with a score under threshold, columns as given."""
     names = docs.columns
+    (aside,) = fresh(names, "_toxicity")
     scorer = train(docs, labels)
-    hidden = docs.withColumnRenamed("toxicity", "_toxicity") if "toxicity" in names else docs
+    hidden = docs.withColumnRenamed("toxicity", aside)
     kept = score(hidden, scorer).filter(F.col("toxicity") < threshold).drop("toxicity")
-    return kept.withColumnRenamed("_toxicity", "toxicity") if "toxicity" in names else kept
+    return kept.withColumnRenamed(aside, "toxicity").select(*names)

@@ -169,6 +169,23 @@ def test_line_dedup_of_repeated_and_idless_rows(spark):
     assert linededup.drop_repeats(table(spark, [])).count() == 0
 
 
+def test_line_dedup_passes_columns_of_any_name_on(spark):
+    docs = spark.createDataFrame([(1, "a\nb\nc", 5, "x", 7), (2, "a\nb\nc\nd", 6, "y", 8)], "doc_id long, text string, _lost int, _LINES string, `_gone` int")
+    found = linededup.drop_repeats(docs)
+    assert found.columns == [*docs.columns, "n_lines", "n_removed"]
+    assert sorted(map(tuple, found.collect())) == [(1, "a\nb\nc", 5, "x", 7, 3, 0), (2, "d", 6, "y", 8, 4, 3)]
+    clashing = docs.withColumnsRenamed({"_lost": "_first", "_LINES": "_by", "_gone": "_h1"})
+    assert simhash.keep_one(clashing).columns == clashing.columns
+
+
+def test_line_dedup_of_a_long_text_and_of_repeated_rows(spark):
+    long = "\n".join(f"line {i % 9000}" for i in range(20_000))
+    rows = [(1, long, None, None, None), *[(2, "line 5\nline 6\nline 7\nmine", None, None, None)] * 50]
+    found = linededup.drop_repeats(table(spark, rows)).collect()
+    assert {r.text for r in found if r.doc_id == 2} == {"mine"}
+    assert [r.text for r in found if r.doc_id == 1] == [plain_dedup(rows[:1])[1][0]]
+
+
 def test_chat(spark):
     talk = "conv_id long, turn long, role string, text string, n int"
     said = [("user", "hi"), ("assistant", "yes"), ("user", None), ("assistant", "")]
@@ -182,6 +199,39 @@ def test_chat(spark):
     assert chat.render(spark.createDataFrame([], talk)).count() == 0
 
 
+def plain_chats(rows):
+    """rows: conv_id, turn, role, text. The maximal conversations and their texts, by the hashes' order among ties."""
+    talks = {}
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            talks.setdefault(conv, set()).add((turn is not None, turn or 0, role is not None, role or "", text is not None, text or ""))
+    talks = {c: [t[:1] + t[2:] for t in sorted(turns)] for c, turns in talks.items()}
+    said = {c: [t[1:] for t in turns] for c, turns in talks.items()}
+    stays = [c for c in said if not any(len(o) > len(said[c]) and o[: len(said[c])] == said[c] or (o == said[c] and d < c) for d, o in said.items())]
+    return {c: "".join(f"<|{t[1]}|>\n{t[3]}<|end|>\n" for t in said[c]) for c in stays}
+
+
+def test_chats_of_odd_turns_and_many_chunks(spark):
+    """Null and negative turns, repeated rows, and a conversation of many chunks; numbers are unique within each."""
+    pick = random.Random(7)
+    rows = [(1, -5, "u", "a"), (1, None, "u", "b"), (2, None, "u", "b"), (3, -5, "u", "a"), (None, 1, "u", "x")]
+    long = [(k * 7 - 3000, pick.choice("ua"), pick.choice(["x", None, ""])) for k in range(4000)]
+    rows += [(10, *t) for t in long] + [(11, *t) for t in long[:3999]] + [(12, *t) for t in long[:1024]] + [(13, *t) for t in long[1:]]
+    rows += [(20 + i, 0, "u", "x" * 200_000) for i in range(3)] + rows[:3] + rows[50:60]
+    docs = spark.createDataFrame([(*r, "c", 1) for r in rows], "conv_id long, turn long, role string, text string, chunk string, n int")
+    assert {r.conv_id: r.chat for r in chat.render(docs).collect()} == plain_chats(rows)
+
+
+def test_chats_whose_turns_share_a_number(spark):
+    """Whatever order ties get, a conversation that ends in the middle of them is a prefix by it, and text follows it."""
+    shared = [(1, 5, "u", t) for t in "abcdef"]
+    talk = "conv_id long, turn long, role string, text string"
+    order = [t[0] for t in re.findall(r"\n(.)<", chat.render(spark.createDataFrame(shared, talk)).first().chat)]
+    assert sorted(order) == list("abcdef")
+    rows = shared + [(2, 5, "u", t) for t in order[:4]] + [(3, 5, "u", t) for t in order[1:]] + shared
+    assert {r.conv_id for r in chat.render(spark.createDataFrame(rows, talk)).collect()} == {1, 3}
+
+
 def slow_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
     if not words:
