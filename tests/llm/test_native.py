@@ -128,6 +128,35 @@ def test_colliding_digests_are_told_apart(spark):
     rows = [(i, t, None, None, None) for i, t in enumerate(["aa", "bb", "AA", "c", "bb ", "dd"])]
     found = fingerprint.fingerprints(table(spark, rows), lambda c: F.length(c).cast("string")).collect()
     assert {r.doc_id: r.fingerprint for r in found} == {0: "2", 1: "2-2", 2: "2", 3: "1", 4: "2-2", 5: "2-3"}
+    # edited: ab, ba, ac, c, bd, da
+    assert {r.doc_id: r.edited_fingerprint for r in found} == {0: "2-0", 1: "2-0", 2: "2-0", 3: "1", 4: "3", 5: "2-0"}
+
+
+def test_fingerprints_of_shared_ids_and_long_texts(spark, monkeypatch):
+    """Ids that very many rows share, with one text and with many, none, outliers, and a very long text: each row follows
+    another, in order of ids, and all of them make one round."""
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 8)
+    rows = [(5, "same text") for _ in range(90)] + [(6, f"text {i}") for i in range(120)] + [(None, f"t {i}") for i in range(40)] + [(None, "idle")] * 30
+    rows += [(i, f"plain {i}") for i in range(10, 60)] + [(1 << 62, "far"), (-(1 << 62), "x" * 300_000)]
+    docs = table(spark, [(*r, None, None, None) for r in rows])
+    met = fingerprint._neighbours(docs).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in met) == sorted((i or 0, t) for i, t in rows)
+    assert sorted(r.following for r in met) == sorted(t for _, t in rows)
+    order = sorted({i for i, _ in rows if i is not None})
+    after = dict(zip([None, *order], [*order, None], strict=True))
+    for i in after:
+        of = {t for j, t in rows if j == i}
+        leaves = [r for r in met if r.doc_id == i and r.following not in of]
+        assert len(leaves) == 1 and leaves[0].following in {t for j, t in rows if j == after[i]}
+    assert all(r.canon == canon(r.text) and r.next_canon == canon(r.following) for r in met)
+    assert fingerprint.fingerprints(docs).count() == len(rows)
+
+
+def test_steps_up_to(spark):
+    cuts = [-5, 0, 3, 9, 12, 40, 41]
+    values = [-6, -5, 2, 3, 41, 99]
+    found = spark.createDataFrame([(v,) for v in values], "v long").select(fingerprint._steps_up_to(cuts, F.col("v"), 3).alias("n")).collect()
+    assert [r.n for r in found] == [sum(c <= v for c in cuts) for v in values]
 
 
 def plain_dedup(rows):
