@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..plans.ast import RuleFile
 from ..plans.callsites import without_call_sites
-from ..plans.compiler import CHECK, STATUSES, Compiler, status_text
+from ..plans.compiler import CHECK, STATUSES, Compiler, event, status_text
 from ..plans.parser import parse_rules
 from ..plans.query import ERROR, FAIL, PASS, SKIP
 from ..plans.values import VARIANT, Val
@@ -88,6 +88,23 @@ def clause_statuses(docs: DataFrame, rules: Rules, keep: list[str], document: st
     return frame.select(*keep, F.explode(F.concat(*found)).alias("__each")).select(*keep, "__each.rule", "__each.seq", "__each.c.*")
 
 
+@without_call_sites
+def event_trees(docs: DataFrame, rules: Rules, keep: list[str], document: str | None = None, *, compat: bool = True) -> DataFrame:
+    """One row per document and rule file: keep, file, events (JSON text): the walk through all rules, with nested records
+    of conditions, blocks and clauses."""
+    frame, found = docs, []
+    for i, file in enumerate(rule_files(rules)):
+        compiler = Compiler(file, False, compat, trace="events")
+        frame, names = compiler.plan(frame, document_of(docs, document, False))
+        statuses = [F.col(c) for c, _ in names.values()]
+        top = F.greatest(F.lit(SKIP), *statuses)
+        tree = event(F.lit(file.name or "rules"), top, F.array(*[F.col(c) for _, c in compiler.traces]).cast("array<string>"))
+        frame = frame.withColumn("__events", tree).drop(*[c for c in frame.columns if c.startswith("__") and c not in docs.columns and not c.startswith("__file_")])
+        frame = frame.withColumnRenamed("__events", f"__file_{i}_events")
+        found.append(F.struct(F.lit(file.name or "rules").alias("file"), F.col(f"__file_{i}_events").alias("events")))
+    return frame.select(*keep, F.explode(F.array(*found)).alias("__each")).select(*keep, "__each.*")
+
+
 @without_call_sites
 def evaluate(docs: DataFrame, rules: Rules, keep: list[str], document: str | None = None, *, strict: bool = False, compat: bool = True) -> DataFrame:
     """One row per document: keep, and a column of statuses (PASS, FAIL, SKIP, ERROR) for each rule. strict: an ERROR ends
@@ -191,6 +208,18 @@ def roll_up(docs: DataFrame, rules: Rules, by: list[str], document: str | None =
     return tops.select(*by, F.explode(each).alias("__each")).select(*by, "__each.*")
 
 
+def checks_of(report: DataFrame) -> DataFrame:
+    """Rows of checks() with name, from reports()."""
+    each = report.select("name", F.explode("not_compliant").alias("r")).select("name", F.col("r.name").alias("rule"), F.posexplode("r.checks").alias("seq", "check"))
+    return each.select("name", "rule", "seq", "check.*")
+
+
+def exit_code_of(report: DataFrame) -> int:
+    """exit_code() from reports()."""
+    top = report.agg(F.bool_or(F.col("status") == "ERROR").alias("error"), F.bool_or(F.col("status") == "FAIL").alias("fail")).first()
+    return EXIT_ERROR if top.error else EXIT_FAILED if top.fail else EXIT_OK
+
+
 #: Exit codes of a run over documents.
 EXIT_OK, EXIT_FAILED, EXIT_ERROR = 0, 19, 5
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from typing import Any
+from xml.sax.saxutils import escape, quoteattr
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +92,45 @@ def test_text(outcomes: DataFrame) -> str:
     return "\n".join(lines)
 
 
+def test_results(rule_file: str, outcomes: DataFrame) -> dict[str, Any]:
+    """The report as plain data, for JSON and YAML."""
+    cases = []
+    for case in test_report(outcomes).orderBy("case_id").collect():
+        cases.append(
+            {
+                "name": case.name or "",
+                "passed_rules": [{"name": r.rule, "evaluated": r.evaluated[0]} for r in case.passed_rules],
+                "failed_rules": [{"name": r.rule, "expected": r.expected, "evaluated": list(r.evaluated)} for r in case.failed_rules],
+                "skipped_rules": [{"name": r.rule} for r in case.skipped_rules],
+            }
+        )
+    return {"rule_file": rule_file, "test_cases": cases}
+
+
+def test_junit(results: list[dict[str, Any]]) -> str:
+    """results: of test_results(), or rule_file and error. A suite for each rule file, a case for each test case."""
+    suites, totals = [], [0, 0, 0]
+    for result in results:
+        file, cases = quoteattr(result["rule_file"]), result.get("test_cases", [])
+        failed = sum(bool(c["failed_rules"]) for c in cases)
+        wrong = int("error" in result)
+        totals = [totals[0] + max(len(cases), wrong), totals[1] + failed, totals[2] + wrong]
+        suites.append(f'  <testsuite name={file} errors="{wrong}" failures="{failed}" time="0">')
+        if wrong:
+            suites.append(f'    <testcase name={file} time="0" status="error">\n      <error>{escape(result["error"])}</error>\n    </testcase>')
+        for case in cases:
+            opening = f'    <testcase name={quoteattr(case["name"])} time="0" status="'
+            if not case["failed_rules"]:
+                status = "pass" if case["passed_rules"] else "skip"
+                suites.append(f'{opening}{status}"/>' if status == "pass" else f'{opening}{status}">\n      <skipped/>\n    </testcase>')
+                continue
+            said = "\n".join(f"{r['name']}: Expected = {r['expected']}, Evaluated = [{', '.join(r['evaluated'])}]" for r in case["failed_rules"])
+            suites.append(f'{opening}fail">\n      <failure>{escape(said)}</failure>\n    </testcase>')
+        suites.append("  </testsuite>")
+    head = f'<testsuites name="test report" tests="{totals[0]}" failures="{totals[1]}" errors="{totals[2]}" time="0">'
+    return "\n".join(['<?xml version="1.0" encoding="UTF-8"?>', head, *suites, "</testsuites>"])
+
+
 def test_exit_code(outcomes: DataFrame) -> int:
     found = outcomes.agg(
         F.bool_or(F.exists("evaluated", lambda s: s == "ERROR")).alias("error"), F.bool_or(F.col("outcome") == "FAIL").alias("fail")

@@ -73,6 +73,12 @@ def status_text(status: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, STATUSES)), status + 1)
 
 
+def event(context: Column, status: Column, children: Column) -> Column:
+    """A record of the walk as JSON text. children: an array of such texts."""
+    quoted = F.to_json(F.struct(context.alias("context"), status_text(status).alias("status")))
+    return F.concat(F.regexp_replace(quoted, r"\}$", ""), F.lit(',"children":['), F.array_join(children, ","), F.lit("]}"))
+
+
 def highest(statuses: list[Column], least: int = SKIP) -> Column:
     if not statuses:
         return F.lit(least)
@@ -101,7 +107,7 @@ class Outcomes:
 
 
 class Compiler(Queries):
-    def __init__(self, rules: RuleFile, detail: bool = False, compat: bool = True, trace: bool = False):
+    def __init__(self, rules: RuleFile, detail: bool = False, compat: bool = True, trace: bool | str = False):
         super().__init__(detail, compat)
         self.rules, self.trace = rules, trace
         self.traces: list[tuple[str, str]] = []
@@ -173,7 +179,8 @@ class Compiler(Queries):
                 checks = f"{name}_checks"
                 self.layer(checks, F.when(F.col(name) >= FAIL, node.checks).otherwise(F.array().cast(f"array<{CHECK}>")))
             if self.trace:
-                self.layer(f"{name}_trace", self.traced(rule, Scope(top.root, top)))
+                told = self.events if self.trace == "events" else self.traced
+                self.layer(f"{name}_trace", told(rule, Scope(top.root, top)))
                 self.traces.append((rule.name, f"{name}_trace"))
             columns[id(rule)] = (name, checks)
             self.need = max(outer, behind[id(rule)])
@@ -208,6 +215,36 @@ class Compiler(Queries):
         body = [(self.text_of(x), F.when(holds == PASS, self.item(x, inner).status).otherwise(SKIP)) for d in rule.block.clauses for x in d]
         return F.array(*[F.struct(F.lit(t).alias("clause"), status_text(c).alias("status")) for t, c in [*conditions, *body]])
 
+    def events(self, rule: Rule, scope: Scope) -> Column:
+        """The walk through a rule as JSON text: context, status and children, of conditions, clauses, and of blocks for
+        each of their values."""
+        children = [self.event_of(x, scope) for d in rule.conditions or [] for x in d]
+        inner = Scope(scope.root, scope, {let.name: let.value for let in rule.block.lets})
+        holds = F.lit(PASS) if rule.conditions is None else self.conjunction(rule.conditions, scope).status
+        body = F.when(holds == PASS, F.array(*[self.event_of(x, inner) for d in rule.block.clauses for x in d])).otherwise(F.array().cast("array<string>"))
+        return event(F.lit(f"rule {rule.name}"), self.rule(rule, scope).status, F.concat(F.array(*children).cast("array<string>"), body))
+
+    def event_of(self, item: Any, scope: Scope) -> Column:
+        status, context = self.item(item, scope).status, F.lit(self.text_of(item))
+        if isinstance(item, WhenBlock):
+            inner = Scope(scope.root, scope, {let.name: let.value for let in item.block.lets})
+            conditions = [self.event_of(x, scope) for d in item.conditions for x in d]
+            holds = self.conjunction(item.conditions, scope).status == PASS
+            body = F.array(*[self.event_of(x, inner) for d in item.block.clauses for x in d])
+            return event(context, status, F.concat(F.array(*conditions), F.when(holds, body).otherwise(F.array().cast("array<string>"))))
+        if isinstance(item, (QueryBlock, TypeBlock)):
+            values = many(self.run(item.query.parts, scope))
+
+            def of(e: Column) -> Column:
+                own = Scope(Val(e["v"], values.type, e["p"] if self.detail else None), scope, in_lambda=True)
+                inner = Scope(own.root, own, {let.name: let.value for let in item.block.lets})
+                body = F.array(*[self.event_of(x, inner) for d in item.block.clauses for x in d])
+                lost = event(F.lit("unresolved"), F.lit(FAIL), F.array().cast("array<string>"))
+                return F.when(e["k"] == RESOLVED, event(F.lit("block"), self.block(item.block, own).status, body)).otherwise(lost)
+
+            return event(context, status, F.transform(values.array, of))
+        return event(context, status, F.array().cast("array<string>"))
+
     @staticmethod
     def text_of(item: Any) -> str:
         if isinstance(item, Access):

@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from .operators.evaluate import checks, clause_statuses, evaluate, merge_reports, reports, results, roll_up, tallies
-from .operators.reports import by_resource, failed_with_names, sarif_results, summary
+from pyspark.sql.window import Window
+
+from .operators.evaluate import checks, clause_statuses, evaluate, event_trees, exit_code, merge_reports, reports, results, roll_up, tallies
+from .operators.reports import (
+    by_resource,
+    console_lines,
+    failed_with_names,
+    junit_suites,
+    junit_totals,
+    resource_details,
+    resource_lines,
+    sarif_artifacts,
+    sarif_results,
+    summary,
+)
 from .operators.rulegen import clauses, distinct_values, generated
-from .operators.testing import run_tests
-from .sources.files import read_payload, with_parameters
+from .operators.testing import read_specs, run_tests
+from .sources.files import pair_tests, read_payload, read_rules, scan_documents, scan_texts, with_parameters
 from .sources.loader import load_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +69,7 @@ def either(condition: str, when: str | None = None) -> str:
 LINE, ORDER, PART = "l_orderkey, l_linenumber", "o_orderkey", "p_partkey"
 
 rows("b1_eq", "orders", ORDER, "rule r { o_orderstatus == 'F' }", {"r": either("o_orderstatus = 'F'")})
+rows("b1_literals", "orders", ORDER, "let f = 'F'\nlet n = [1, 2]\nrule r { %f == 'F'\n o_orderstatus == 'F' }\nrule n { %f != 'F' }\nrule l { %n == [1, 2] }\nrule k { %n == [2, 1] or o_orderstatus == 'O' }\nrule t { %f == 1 }", {"r": either("o_orderstatus = 'F'"), "n": "'FAIL'", "l": "'PASS'", "k": either("o_orderstatus = 'O'"), "t": "'FAIL'"})
 rows("b5_neq", "orders", ORDER, "rule r { o_orderstatus != 'F' }", {"r": either("o_orderstatus <> 'F'")})
 rows("b6_lt", "lineitem", LINE, "rule r { l_discount < 0.05 }", {"r": either("l_discount < 0.05")})
 rows("b7_le", "lineitem", LINE, "rule r { l_discount <= 0.05 }", {"r": either("l_discount <= 0.05")})
@@ -64,6 +80,7 @@ rows("b15_not_in", "orders", ORDER, "rule r { o_orderpriority not in ['1-URGENT'
 rows("b12_substring_in", "orders", ORDER, "rule r { o_orderstatus in 'FO' }\nrule n { o_orderstatus !in 'FO' }", {"r": either("contains('FO', o_orderstatus)"), "n": either("NOT contains('FO', o_orderstatus)")})
 rows("b16_regex", "part", PART, "rule r { p_type == /BRASS$/ }\nrule n { p_type != /^(SMALL|LARGE)/ }\nrule l { p_type in [/TIN/, /^ECONOMY/] }", {"r": either("regexp_matches(p_type, 'BRASS$')"), "n": either("NOT regexp_matches(p_type, '^(SMALL|LARGE)')"), "l": either("regexp_matches(p_type, 'TIN') OR regexp_matches(p_type, '^ECONOMY')")})
 rows("b17_range", "part", PART, "rule r { p_size in r[1,10) }\nrule e { p_size == r(10,20] }\nrule f { p_retailprice == r[900.0,1500.0] }", {"r": either("p_size >= 1 AND p_size < 10"), "e": either("p_size > 10 AND p_size <= 20"), "f": either("p_retailprice BETWEEN 900 AND 1500")})
+rows("f3_scalar_filter", "orders", ORDER, "rule r { o_orderstatus[*][ this == 'F' ] !empty }\nrule s { o_orderstatus[ this == 'F' ] exists }", {"r": either("o_orderstatus = 'F'"), "s": "'FAIL'"})
 rows("q1_type_mismatch", "lineitem", LINE, "rule r { l_quantity <= 50 }\nrule n { l_quantity != 1 }\nrule s { l_returnflag == 1 }", {"r": "'FAIL'", "n": "'FAIL'", "s": "'FAIL'"})
 rows("b18_literal_map_list", "orders", ORDER, "let allowed = ['F', 'O']\nrule r { o_orderstatus in %allowed }\nrule one { o_orderstatus == ['F'] }\nrule l { o_orderstatus == ['F', 'O'] }", {"r": either("o_orderstatus IN ('F', 'O')"), "one": either("o_orderstatus = 'F'"), "l": "'FAIL'"})
 rows("b2_literal_eq_query", "orders", ORDER, "let wanted = 'F'\nrule r { %wanted == o_orderstatus }\nrule n { %wanted != o_orderstatus }", {"r": either("o_orderstatus = 'F'"), "n": either("o_orderstatus <> 'F'")})
@@ -85,6 +102,8 @@ rows("f4_key_filter", "orders", ORDER, "rule r { this[ keys == /^o_order(status|
 # -- composition
 
 rows("c1_or", "orders", ORDER, "rule r { o_orderstatus == 'F' or o_totalprice > 100000.0 }\nrule a { o_orderstatus == 'F'\n o_totalprice > 100000.0 }", {"r": either("o_orderstatus = 'F' OR o_totalprice > 100000"), "a": either("o_orderstatus = 'F' AND o_totalprice > 100000")})
+MANY = [f"o_custkey == {k}" for k in range(0, 400, 10)]
+rows("c1_or_many", "orders", ORDER, f"rule r {{ {' or '.join(MANY)} }}\nrule b {{ this {{ {' or '.join(MANY[:13])} or o_orderstatus == 'F' }} }}", {"r": either("o_custkey < 400 AND o_custkey % 10 = 0"), "b": either("(o_custkey < 130 AND o_custkey % 10 = 0) OR o_orderstatus = 'F'")})
 rows("f6_when", "lineitem", LINE, "rule discount_ok when l_returnflag == 'R' { l_discount <= 0.05 }\nrule inner { when l_linestatus == 'O' { l_tax < 0.05 } }", {"discount_ok": either("l_discount <= 0.05", "l_returnflag = 'R'"), "inner": either("l_tax < 0.05", "l_linestatus = 'O'")})
 rows(
     "c6_rule_ref",
@@ -161,7 +180,39 @@ SQL["j6_correlated"] = SQL["j6_correlated_variant"] = """
 SELECT o_orderkey, CASE WHEN bool_and(l_quantity > 3) FILTER (l_linestatus = top) THEN 'PASS' ELSE 'FAIL' END AS r
 FROM (SELECT l_orderkey AS o_orderkey, l_quantity, l_linestatus, first_value(l_linestatus) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) AS top FROM lineitem)
 JOIN orders USING (o_orderkey) GROUP BY o_orderkey"""
-nested("p6_capture", "rule r { items[*].l_tax >= 0.0\n count_fine(this) }\nrule count_fine(x) { %x.items !empty }", {"r": "'PASS'"})
+
+
+def by_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each order: its largest discount by return flag, as a map."""
+    tops = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.max("l_discount").alias("top"))
+    flags = F.map_from_entries(F.array_sort(F.collect_list(F.struct("l_returnflag", F.struct("top")))))
+    docs = tops.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(flags.alias("flags"))
+    return docs.withColumn("names", F.create_map(F.lit("A"), F.lit("back"), F.lit("N"), F.lit("kept"), F.lit("R"), F.lit("back")))
+
+
+CAPTURES = "rule some_back { some flags[ flag | top > 0.05 ] exists\n some names.%flag == 'back' }\nrule all_of { flags[ every ].top >= 0.0\n some %every == 'N' }"
+TOPS = "(SELECT l_orderkey AS o_orderkey, l_returnflag AS flag, max(l_discount) AS top FROM lineitem GROUP BY ALL)"
+
+
+@add(
+    "p6_capture",
+    f"""SELECT o_orderkey, CASE WHEN count(*) FILTER (top > 0.05) = 0 THEN 'SKIP' WHEN bool_or(flag <> 'N') FILTER (top > 0.05) THEN 'PASS' ELSE 'FAIL' END AS some_back,
+    CASE WHEN bool_or(flag = 'N') THEN 'PASS' ELSE 'FAIL' END AS all_of FROM {TOPS} GROUP BY o_orderkey""",
+)
+def p6_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that a filter lets through, and all keys, used behind the query that names them."""
+    return evaluate(by_flag(spark, sf_dir), CAPTURES, ["o_orderkey"])
+
+
+@add(
+    "b18_maps",
+    "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_custkey % 2 = 0 THEN 'PASS' ELSE 'FAIL' END AS r, CASE WHEN o_orderstatus = 'F' AND o_custkey % 2 = 0 THEN 'FAIL' ELSE 'PASS' END AS n, 'FAIL' AS k, CASE WHEN o_orderstatus = 'F' THEN 'PASS' ELSE 'FAIL' END AS l FROM orders",
+)
+def b18_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps against literal maps, and lists of maps."""
+    docs = table(spark, sf_dir, "orders").select("o_orderkey", F.struct("o_orderstatus", (F.col("o_custkey") % 2).alias("odd")).alias("m"), F.array(F.struct("o_orderstatus")).alias("l"))
+    rules = "rule r { m == {o_orderstatus: 'F', odd: 0} }\nrule n { m != {odd: 0, o_orderstatus: 'F'} }\nrule k { m == {o_orderstatus: 'F'} }\nrule l { l == [{o_orderstatus: 'F'}] }"
+    return evaluate(docs, rules, ["o_orderkey"])
 
 
 @add("j1_lookup", "SELECT n_nationkey, CASE WHEN r_name = 'ASIA' THEN 'PASS' ELSE 'FAIL' END AS asia, 'PASS' AS known FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -220,13 +271,68 @@ def a9_by_resource(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @add(
-    "k9_sarif",
-    """SELECT 'DEFAULT' AS "ruleId", 'error' AS level, CAST(l_orderkey AS VARCHAR) AS uri, 1 AS "startLine", 1 AS "startColumn", count(*) AS n
-    FROM lineitem WHERE l_returnflag = 'R' AND l_discount > 0.08 GROUP BY l_orderkey""",
+    "k9_a12_sarif",
+    f"""SELECT 'DEFAULT' AS "ruleId", 'error' AS level, CAST(l_orderkey AS VARCHAR) AS uri, nr * 10 AS "startLine", 3 AS "startColumn",
+    'Check was not compliant as property value [Path=/Resources/line' || nr || '/Properties/Discount Value=' || CAST(l_discount AS VARCHAR) || '] not less than equal to value [0.08]. too much' AS text
+    FROM {NUMBERED} WHERE l_returnflag = 'R' AND l_discount > 0.08
+    UNION ALL SELECT 'ARTIFACT', NULL, CAST(l_orderkey AS VARCHAR), NULL, NULL, NULL FROM lineitem WHERE l_returnflag = 'R' AND l_discount > 0.08 GROUP BY l_orderkey""",
 )
 def k9_sarif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    failed = failed_with_names(templates(spark, sf_dir), TYPES.split("\nrule")[0], "name", "document")
-    return sarif_results(failed).groupBy("ruleId", "level", "uri", "startLine", "startColumn").agg(F.count("*").alias("n"))
+    """Results at the places of their values, with their texts, and each document with results once."""
+    docs = templates(spark, sf_dir)
+    found = sarif_results(failed_with_names(docs, TYPES.split("\nrule")[0], "name", "document"), places(docs))
+    artifacts = sarif_artifacts(found).select(F.lit("ARTIFACT").alias("ruleId"), "uri")
+    return found.select("ruleId", "level", "uri", "startLine", "startColumn", "text").unionByName(artifacts, allowMissingColumns=True)
+
+
+def places(docs: DataFrame) -> DataFrame:
+    """name, path, line, column: the discount of the nth line of an order stands in line 10 n, column 3."""
+    keys = F.map_keys(F.try_variant_get("document", "$.Resources", "map<string,variant>"))
+    each = docs.select("name", F.explode(keys).alias("key"))
+    line = F.regexp_replace("key", "^line", "").cast("int") * 10
+    return each.select("name", F.concat(F.lit("/Resources/"), "key", F.lit("/Properties/Discount")).alias("path"), line.alias("line"), F.lit(3).alias("column"))
+
+
+@add(
+    "k15_messages",
+    f"""SELECT CAST(l_orderkey AS VARCHAR) AS name, '/Resources/line' || nr || '/Properties/Discount' AS path, 'Properties.Discount <= 0.08' AS clause, 1 AS line,
+    CAST(l_discount AS VARCHAR) AS value, '0.08' AS compared, 'too much' AS custom_message,
+    'Check was not compliant as property value [Path=/Resources/line' || nr || '/Properties/Discount Value=' || CAST(l_discount AS VARCHAR) || '] not less than equal to value [0.08].' AS message
+    FROM {NUMBERED} WHERE l_returnflag = 'R' AND l_discount > 0.08""",
+)
+def k15_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = checks(templates(spark, sf_dir), TYPES.split("\nrule")[0], ["name"], "document")
+    return found.select("name", "path", "clause", "line", "value", "compared", "custom_message", "message")
+
+
+@add(
+    "k3_k18_resource_report",
+    f"""WITH bad AS (SELECT *, 'line' || nr AS resource FROM {NUMBERED} WHERE l_returnflag = 'R' AND l_discount > 0.08), line AS (
+    SELECT l_orderkey, resource, 1 AS k, '  Resource = ' || resource || ' {{' AS line FROM bad UNION ALL SELECT l_orderkey, resource, 2, '    Type = Item::Line::R' FROM bad
+    UNION ALL SELECT l_orderkey, resource, 3, '    default: Properties.Discount <= 0.08' FROM bad UNION ALL SELECT l_orderkey, resource, 4, '      PropertyPath    = Properties/Discount' FROM bad
+    UNION ALL SELECT l_orderkey, resource, 5, '      Value           = ' || CAST(l_discount AS VARCHAR) FROM bad UNION ALL SELECT l_orderkey, resource, 6, '      ComparedWith    = 0.08' FROM bad
+    UNION ALL SELECT l_orderkey, resource, 7, '      Message         = too much' FROM bad UNION ALL SELECT l_orderkey, resource, 8, '  }}' FROM bad
+    UNION ALL SELECT l_orderkey, '', 0, 'Number of non-compliant resources ' || count(*) FROM bad GROUP BY l_orderkey)
+    SELECT CAST(l_orderkey AS VARCHAR) AS name, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY resource, k) - 1 AS INTEGER) AS seq, line FROM line""",
+)
+def k3_resource_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = templates(spark, sf_dir)
+    return resource_lines(resource_details(failed_with_names(docs, TYPES.split("\nrule")[0], "name", "document"), docs))
+
+
+@add(
+    "k4_plan_report",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS name, 'plan' AS layout, 'order.o' || o_orderkey AS resource, 'order' AS type, 'r' AS rule, 'price' AS property, CAST(o_totalprice AS VARCHAR) AS value
+    FROM orders WHERE o_totalprice >= 150000""",
+)
+def k4_plan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan of one change for each order."""
+    change = F.struct(
+        F.concat(F.lit("order.o"), "o_orderkey").alias("address"), F.lit("order").alias("type"), F.struct(F.struct(F.col("o_totalprice").alias("price")).alias("after")).alias("change")
+    )
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("name"), F.to_variant_object(F.struct(F.array(change).alias("resource_changes"))).alias("document"))
+    failed = failed_with_names(docs, "rule r { resource_changes[*].change.after.price < 150000.0 }", "name", "document")
+    return resource_details(failed, docs).select("name", "layout", "resource", "type", "rule", "property", "value")
 
 
 # -- functions
@@ -250,6 +356,9 @@ functions("x13_parse_char", "orders", ORDER, "let c = parse_char(o_orderstatus)\
 functions("x14_parse_epoch", "events", "event_id", "let t = parse_epoch(ts)\nrule r { %t > 1704153600 }", {"r": either("floor(epoch(ts)) > 1704153600")})
 functions("x15_now", "region", "r_regionkey", "let t = now()\nrule r { %t > 1700000000 }", {"r": "'PASS'"})
 
+rows("x2_x4_x5_queries", "part", PART, "let j = join(this[ keys in ['p_name', 'p_brand'] ], p_type)\nlet s = substring(p_type, p_one, p_size)\nlet r = regex_replace(p_type, p_brand, p_name)\nrule j { %j exists }\nrule r { %r exists }", {"j": "'PASS'", "r": "'PASS'"})
+functions("x11_parse_boolean_query", "orders", ORDER, "let w = json_parse('{\"a\": \"TRUE\", \"b\": \"false\"}')\nlet b = parse_boolean(%w.*)\nrule some_true { some %b == true }\nrule every { %b == true or o_orderstatus == 'F' }", {"some_true": "'PASS'", "every": either("o_orderstatus = 'F'")})
+
 # -- policies over whole tables
 
 rows(
@@ -317,6 +426,70 @@ def k10_clause_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clause_statuses(table(spark, sf_dir, "orders"), GRADES, ["o_orderkey"])
 
 
+@add(
+    "k11_event_trees",
+    """SELECT o_orderkey, 'rules' AS file, '{"context":"rules","status":"' || top || '","children":[{"context":"rule price","status":"' || p || '","children":[{"context":"o_totalprice < 150000.0","status":"' || p ||
+    '","children":[]}]},{"context":"rule open","status":"' || o || '","children":[{"context":"o_orderstatus == ''O''","status":"' || w || '","children":[]}' ||
+    CASE WHEN w = 'PASS' THEN ',{"context":"o_orderpriority != ''1-URGENT''","status":"' || o || '","children":[]}' ELSE '' END || ']}]}' AS events
+    FROM (SELECT *, CASE WHEN p = 'FAIL' OR o = 'FAIL' THEN 'FAIL' ELSE 'PASS' END AS top FROM (SELECT o_orderkey, CASE WHEN o_totalprice < 150000 THEN 'PASS' ELSE 'FAIL' END AS p,
+    CASE WHEN o_orderstatus = 'O' THEN 'PASS' ELSE 'FAIL' END AS w, CASE WHEN o_orderstatus <> 'O' THEN 'SKIP' WHEN o_orderpriority <> '1-URGENT' THEN 'PASS' ELSE 'FAIL' END AS o FROM orders))""",
+)
+def k11_event_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_trees(table(spark, sf_dir, "orders"), GRADES, ["o_orderkey"])
+
+
+TREE = """'{"context":"items[*] { ... }","status":"' || CASE WHEN bool_and(l_quantity > 2) THEN 'PASS' ELSE 'FAIL' END || '","children":[' || string_agg('{"context":"block","status":"' || s || '","children":[{"context":"l_quantity > 2.0","status":"' || s || '","children":[]}]}', ',' ORDER BY l_linenumber, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) || ']}'"""
+
+
+@add(
+    "k10_nested_events",
+    f"""SELECT o_orderkey, '{{"context":"rules","status":"' || CASE WHEN bool_and(l_quantity > 2) THEN 'PASS' ELSE 'FAIL' END || '","children":[{{"context":"rule r","status":"' ||
+    CASE WHEN bool_and(l_quantity > 2) THEN 'PASS' ELSE 'FAIL' END || '","children":[' || {TREE} || ']}}]}}' AS events
+    FROM (SELECT *, CASE WHEN l_quantity > 2 THEN 'PASS' ELSE 'FAIL' END AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY o_orderkey""",
+)
+def k10_nested_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return event_trees(nested_orders(spark, sf_dir), "rule r { items[*] { l_quantity > 2.0 } }", ["o_orderkey"]).drop("file")
+
+
+PRICES = f"(SELECT o_orderkey, {PRICE} AS p, {OPEN} AS o FROM orders)"
+
+
+@add(
+    "k2_k5_console",
+    f"""SELECT CAST(o_orderkey AS VARCHAR) AS name, string_agg(line, chr(10) ORDER BY k) AS said FROM (
+    SELECT o_orderkey, 0 AS k, CAST(o_orderkey AS VARCHAR) || ' Status = ' || CASE WHEN p = 'FAIL' OR o = 'FAIL' THEN 'FAIL' ELSE 'PASS' END AS line FROM {PRICES}
+    UNION ALL SELECT o_orderkey, 1, '  FAIL price' FROM {PRICES} WHERE p = 'FAIL'
+    UNION ALL SELECT o_orderkey, 2, '    o_totalprice < 150000.0 at line 1: Check was not compliant as property value [Path=/o_totalprice Value=' || CAST(o_totalprice AS VARCHAR) || '] not less than value [150000.0].' FROM orders WHERE o_totalprice >= 150000
+    UNION ALL SELECT o_orderkey, 3, '  FAIL open' FROM {PRICES} WHERE o = 'FAIL'
+    UNION ALL SELECT o_orderkey, 4, '    o_orderpriority != ''1-URGENT'' at line 2: Check was not compliant as property value [Path=/o_orderpriority Value="1-URGENT"] equal to value ["1-URGENT"].' FROM {PRICES} WHERE o = 'FAIL'
+    UNION ALL SELECT o_orderkey, 5, '  PASS open' FROM {PRICES} WHERE o = 'PASS' UNION ALL SELECT o_orderkey, 6, '  PASS price' FROM {PRICES} WHERE p = 'PASS'
+    UNION ALL SELECT o_orderkey, 7, '  SKIP open' FROM {PRICES} WHERE o = 'SKIP') GROUP BY o_orderkey""",
+)
+def k2_console(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = console_lines(reports(table(spark, sf_dir, "orders"), GRADES, "o_orderkey"))
+    whole = lines.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("seq", "line"))).alias("all"))
+    return whole.select("name", F.array_join(F.col("all.line"), "\n").alias("said"))
+
+
+@add(
+    "k8_a7_junit",
+    f"""SELECT CAST(o_orderkey AS VARCHAR) AS name, 2 AS tests, CAST(p = 'FAIL' AS INTEGER) + CAST(o = 'FAIL' AS INTEGER) AS failures, 0 AS errors FROM {PRICES}
+    UNION ALL SELECT 'all', count(*) * 2, count(*) FILTER (p = 'FAIL') + count(*) FILTER (o = 'FAIL'), 0 FROM {PRICES}""",
+)
+def k8_junit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suites of two rule files and the totals of all."""
+    orders = table(spark, sf_dir, "orders")
+    suites = junit_suites({f"r{i}.guard": reports(orders, f"rule {r}", "o_orderkey") for i, r in enumerate(GRADES.split("rule ")[1:])})
+    return suites.drop("xml").unionByName(junit_totals(suites).select(F.lit("all").alias("name"), "*"))
+
+
+@add("k1_exit_codes", f"SELECT 19 AS failing, 0 AS passing, 5 AS wrong FROM {PRICES} HAVING bool_or(p = 'FAIL')")
+def k1_exit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    codes = [exit_code(orders, r) for r in (GRADES, "rule r { o_orderkey >= 0 }", "rule r { o_orderkey empty }")]
+    return spark.createDataFrame([tuple(codes)], "failing int, passing int, wrong int")
+
+
 @add("k6_summary", f"SELECT o_orderkey, rule, status FROM {LONG} WHERE status IN ('PASS', 'FAIL')")
 def k6_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(table(spark, sf_dir, "orders"), GRADES, "o_orderkey", show=("pass", "fail"))
@@ -412,22 +585,131 @@ def s6_load_yaml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate(docs, rules, ["name"], "document")
 
 
-@add("s4_payload", "SELECT 'DATA_STDIN[1]' AS name, 'PASS' AS status, count(*) AS n FROM nation UNION ALL SELECT 'DATA_STDIN[2]', 'FAIL', count(*) FROM nation")
+NATIONS = "(SELECT *, row_number() OVER (ORDER BY n_nationkey) AS k FROM nation)"
+
+
+@add("s4_payload", f"SELECT 'DATA_STDIN[' || k || ']' AS name, 'asia' AS rule, CASE WHEN n_regionkey = 2 THEN 'PASS' ELSE 'FAIL' END AS status FROM {NATIONS} UNION ALL SELECT 'DATA_STDIN[' || k || ']', 'named', 'PASS' FROM {NATIONS}")
 def s4_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One payload for each nation, of a document that passes and one that doesn't; all carry the same rules."""
-    nation = table(spark, sf_dir, "nation")
-    texts = nation.select(F.to_json(F.struct(F.array().cast("array<string>").alias("rules"), F.array(F.to_json(F.struct("n_name")), F.lit("{}")).alias("data"))).alias("value"))
-    _, docs = read_payload(spark, texts)
-    counted = results(docs, "rule r { n_name exists }", ["name"], "document").groupBy("name", "status")
-    return counted.agg(F.count("*").alias("n"))
+    """One payload of two rule texts and a document for each nation."""
+    data = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey"))), lambda x: F.to_json(x))
+    texts = F.array(F.lit("rule asia { n_regionkey == 2 }"), F.lit("rule named { n_name !empty }"))
+    payload = table(spark, sf_dir, "nation").agg(data.alias("data")).select(F.to_json(F.struct(texts.alias("rules"), "data")).alias("value"))
+    rules, docs = read_payload(spark, payload)
+    return results(docs, rules, ["name"], "document")
 
 
-@add("s5_t4_parameters", "SELECT o_orderkey, CASE WHEN o_totalprice < 100000 THEN 'PASS' ELSE 'FAIL' END AS r FROM orders")
+@add("s5_t4_j8_parameters", "SELECT o_orderkey, CASE WHEN o_totalprice < 100000 THEN 'PASS' ELSE 'FAIL' END AS r, CASE WHEN o_orderstatus IN ('F', 'O') THEN 'PASS' ELSE 'FAIL' END AS s FROM orders")
 def s5_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parameters merged into each document."""
-    docs = table(spark, sf_dir, "orders").select("o_orderkey", F.to_variant_object(F.struct("o_totalprice")).alias("document"))
-    merged = with_parameters(docs, spark.range(1).select(F.parse_json(F.lit('{"limit": 1.0E5}')).alias("document")))
-    return evaluate(merged, "let limit = limit\nrule r { o_totalprice < %limit }", ["o_orderkey"], "document")
+    """Two parameter documents merged into each document."""
+    docs = table(spark, sf_dir, "orders").select("o_orderkey", F.to_variant_object(F.struct("o_totalprice", "o_orderstatus")).alias("document"))
+    parameters = spark.createDataFrame([('{"limit": 1.0E5}',), ('{"statuses": ["F", "O"]}',)], "t string").select(F.parse_json("t").alias("document"))
+    rules = "let limit = limit\nlet statuses = statuses[*]\nrule r { o_totalprice < %limit }\nrule s { o_orderstatus in %statuses }"
+    return evaluate(with_parameters(docs, parameters), rules, ["o_orderkey"], "document")
+
+
+@add("t4_lists", "SELECT o_orderkey, 'PASS' AS n, CASE WHEN o_orderstatus = 'F' THEN 'PASS' ELSE 'FAIL' END AS r FROM orders")
+def t4_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A parameter document that is a list, before the elements of documents that are lists."""
+    docs = table(spark, sf_dir, "orders").select("o_orderkey", F.to_variant_object(F.array("o_orderstatus", "o_orderpriority")).alias("document"))
+    merged = with_parameters(docs, spark.range(1).select(F.parse_json(F.lit('["F"]')).alias("document")))
+    return evaluate(merged, "let n = count(this[*])\nrule n { %n == 3 }\nrule r { this[0] == this[1] }", ["o_orderkey"], "document")
+
+
+def nation_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a file of JSON for each nation, and one of another ending, in the warehouse, as executors read it."""
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/nations-{uuid.uuid4().hex}"
+    nation = table(spark, sf_dir, "nation")
+    nation.write.option("maxRecordsPerFile", 1).json(f"{folder}/deep/er")
+    nation.limit(1).select("n_name").write.text(f"{folder}/other")
+    return folder
+
+
+@add("s1_s3_files", "SELECT n_nationkey, CASE WHEN n_regionkey = 2 THEN 'PASS' ELSE 'FAIL' END AS asia FROM nation")
+def s1_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = scan_documents(spark, nation_files(spark, sf_dir))
+    key = F.try_variant_get("document", "$.n_nationkey", "int").alias("n_nationkey")
+    return evaluate(docs.select(key, "document"), "rule asia { n_regionkey == 2 }", ["n_nationkey"], "document")
+
+
+@add("o1_o2_o3_orders", "SELECT count(*) AS files, 0 AS by_name, 0 AS by_time, count(*) AS any_order FROM nation")
+def o1_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files, how many stand out of order by name and by time, and how many come in any order."""
+    folder = nation_files(spark, sf_dir)
+
+    def wrong(order: str, keys: list[str]) -> DataFrame:
+        texts = scan_texts(spark, folder, order=order).withColumn("at", F.monotonically_increasing_id())
+        before = F.lag(F.struct(*keys)).over(Window.orderBy("at"))  # as many rows as files
+        return texts.select(F.coalesce(before > F.struct(*keys), F.lit(False)).alias("wrong")).agg(F.count("*").alias("files"), F.count_if("wrong").alias("n"))
+
+    by_name = wrong("alphabetical", ["name"]).select("files", F.col("n").alias("by_name"))
+    by_time = wrong("modified", ["modified", "name"]).select(F.col("n").alias("by_time"))
+    return by_name.crossJoin(by_time).crossJoin(scan_texts(spark, folder, order="none").agg(F.count("*").alias("any_order")))  # one row each
+
+
+@add("s2_rule_files", "SELECT o_orderkey, CASE WHEN o_totalprice < 150000 THEN 'PASS' ELSE 'FAIL' END AS price, CASE WHEN o_orderstatus = 'F' THEN 'PASS' ELSE 'FAIL' END AS done, 'PASS' AS key FROM orders")
+def s2_rule_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule files are read by the driver: a folder's by their endings, a file whatever its ending."""
+    with tempfile.TemporaryDirectory() as folder:
+        for name, text in (("a.guard", "rule price { o_totalprice < 150000.0 }"), ("deep/b.ruleset", "rule done { o_orderstatus == 'F' }"), ("c.txt", "rule key { o_orderkey exists }")):
+            os.makedirs(os.path.dirname(os.path.join(folder, name)), exist_ok=True)
+            with open(os.path.join(folder, name), "w", encoding="utf-8") as file:
+                file.write(text)
+        return evaluate(table(spark, sf_dir, "orders"), read_rules([folder, os.path.join(folder, "c.txt")]), ["o_orderkey"])
+
+
+@add("s7_plain_yaml", "SELECT CAST(p_partkey AS VARCHAR) AS name, 'PASS' AS words, CASE WHEN p_size > 25 THEN 'PASS' ELSE 'FAIL' END AS size FROM part")
+def s7_plain_yaml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other way of typing: yes is a string, and a plain empty scalar is null."""
+    docs = load_documents(yaml_texts(spark, sf_dir), located=False)
+    return evaluate(docs, "rule words { Tags[0] == 'yes'\n Tags[1] is_null\n Empty is_null }\nrule size { Size > 25 }", ["name"], "document")
+
+
+@add("s9_validate_text", "SELECT r_regionkey, CASE WHEN r_name = 'ASIA' THEN 'PASS' ELSE 'FAIL' END AS status, CASE WHEN r_name <> 'ASIA' THEN 'asia' ELSE '' END AS failed FROM region")
+def s9_validate_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One call for each of the five regions."""
+    from .api import validate_text
+
+    found = []
+    for r in table(spark, sf_dir, "region").limit(100).collect():
+        report = validate_text(spark, f"name: {r.r_name}", "rule asia { name == 'ASIA' }")[0]
+        found.append((r.r_regionkey, report["status"], ",".join(x["name"] for x in report["not_compliant"])))
+    return spark.createDataFrame(found, "r_regionkey int, status string, failed string")
+
+
+@add(
+    "s10_k14_a10_a13_specs",
+    """SELECT CAST(row_number() OVER (ORDER BY n_nationkey) AS INTEGER) AS case_id, n_name AS name, CASE WHEN n_regionkey = 2 THEN 'PASS/PASS' ELSE 'PASS/FAIL' END AS twice,
+    CASE WHEN n_regionkey = 2 THEN 'FAIL' ELSE 'PASS' END AS skipped, 'NONE' AS extra FROM nation""",
+)
+def s10_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A case for each nation: a rule of a name that two rules have, of which one as expected is enough, one that must be
+    skipped, and one without an expectation."""
+    nation = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # a specification is one text
+    text = "".join(f"- name: {n.n_name}\n  input: {{key: {n.n_nationkey}, region: {n.n_regionkey}}}\n  expectations: {{rules: {{twice: PASS, skipped: SKIP}}}}\n" for n in nation)
+    rules = "rule twice { key exists }\nrule twice { region == 2 }\nrule skipped when region == 2 { key exists }\nrule extra { key exists }"
+    found = run_tests(read_specs(spark, text), rules)
+    of = lambda rule, c: F.max(F.when(F.col("rule") == rule, c))
+    return found.groupBy("case_id", "name").agg(
+        of("twice", F.array_join("evaluated", "/")).alias("twice"), of("skipped", F.col("outcome")).alias("skipped"), of("extra", F.col("outcome")).alias("extra")
+    )
+
+
+@add("s11_j10_o5_pairs", "SELECT 'd/' || min(n_name) || '.guard' AS rule, 'd/tests/' || test AS test FROM nation JOIN (SELECT n_name || '_1.yaml' AS test FROM nation UNION ALL SELECT n_name || '.json' FROM nation) ON starts_with(test, n_name) GROUP BY test")
+def s11_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [r.n_name for r in table(spark, sf_dir, "nation").select("n_name").collect()]  # file names are the driver's
+    tests = [f"d/tests/{n}{e}" for n in names for e in ("_1.yaml", ".json", ".txt")] + [f"other/tests/{n}.yaml" for n in names]
+    return spark.createDataFrame([(r, t) for r, own in pair_tests([f"d/{n}.guard" for n in names], tests).items() for t in own], "rule string, test string")
+
+
+@add("k12_parse_tree", "SELECT o_orderpriority AS rule, 1 AS clauses, 'RuleFile' AS kind FROM orders GROUP BY ALL")
+def k12_parse_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule for each priority, as a tree."""
+    from .api import parse_tree
+
+    names = [r[0] for r in table(spark, sf_dir, "orders").select("o_orderpriority").distinct().limit(1000).collect()]
+    tree = parse_tree("\n".join(f"rule p{i} {{ o_orderpriority == '{n}' }}" for i, n in enumerate(names)))
+    found = [(names[int(r["name"][1:])], len(r["block"]["clauses"]), tree["kind"]) for r in tree["rules"]]
+    return spark.createDataFrame(found, "rule string, clauses int, kind string")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,9 +42,9 @@ def texts_of(spark: SparkSession, texts: Iterable[tuple[str, str]]) -> DataFrame
     return spark.createDataFrame(list(texts), "name string, content string")
 
 
-def scan_documents(spark: SparkSession, paths: str | Iterable[str], order: str = "alphabetical") -> DataFrame:
-    """name, document, locations, error."""
-    return load_documents(scan_texts(spark, paths, DATA_ENDINGS, order))
+def scan_documents(spark: SparkSession, paths: str | Iterable[str], order: str = "alphabetical", keep_content: bool = False) -> DataFrame:
+    """name, document, locations, error, and with keep_content the text."""
+    return load_documents(scan_texts(spark, paths, DATA_ENDINGS, order), keep_content=keep_content)
 
 
 def read_rules(paths: str | Iterable[str], order: str = "alphabetical") -> list[RuleFile]:

@@ -189,9 +189,10 @@ def load_text(text: str, located: bool = True) -> tuple[Any, list[tuple[str, int
     return loader.load(text), loader.places
 
 
-def load_documents(texts: DataFrame, located: bool = True) -> DataFrame:
-    """texts: name, content. Returns name, document (VARIANT, null where there is an error), locations, error. One pass
-    without a shuffle; a text that can't be read is a row with its error, and others go on."""
+def load_documents(texts: DataFrame, located: bool = True, keep_content: bool = False) -> DataFrame:
+    """texts: name, content. Returns name, document (VARIANT, null where there is an error), locations, error, and with
+    keep_content the text. One pass without a shuffle; a text that can't be read is a row with its error, and others go
+    on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,7 +205,9 @@ def load_documents(texts: DataFrame, located: bool = True) -> DataFrame:
                     rows.append((None, [], str(e) or "bad document"))
             kind = pa.list_(pa.struct([("path", pa.string()), ("line", pa.int32()), ("column", pa.int32())]))
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), kind, pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["name", "json", "locations", "error"])
+            kept = [batch.column(1)] if keep_content else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *kept], names=["name", "json", "locations", "error", "content"][: 4 + len(kept)])
 
-    loaded = texts.select(F.col("name").cast("string"), F.col("content").cast("string")).mapInArrow(run, SCHEMA)
-    return loaded.select("name", F.try_parse_json("json").alias("document"), "locations", "error")
+    schema = f"{SCHEMA}, content string" if keep_content else SCHEMA
+    loaded = texts.select(F.col("name").cast("string"), F.col("content").cast("string")).mapInArrow(run, schema)
+    return loaded.select("name", F.try_parse_json("json").alias("document"), "locations", "error", *(["content"] if keep_content else []))

@@ -246,7 +246,7 @@ def test_reports(spark, template):
     rows = R.summary(template, RULES, "name", "document", ("all",))
     assert {(r.rule, r.status) for r in rows.collect()} == {("small", "FAIL"), ("named", "PASS"), ("other", "SKIP")}
     assert R.summary(template, RULES, "name", "document", ("none",)).count() == 0
-    assert "small" in R.summary_text(rows, "name") and "too large" in R.console(template, RULES, "name", "document")
+    assert "small" in R.summary_text(rows, "name") and "too large" in R.console(report)
     assert api.validate_text(spark, TEMPLATE, RULES)[0]["status"] == "FAIL"
 
 
@@ -346,6 +346,26 @@ def test_rules_that_do_not_read_each_other_share_a_projection(spark):
     assert done.frame.select(done.status("last").alias("s")).first().s == 2
 
 
+def test_pointers():
+    at = R.at_pointer
+    assert [at("/a/b/c", p) for p in ("", "0", "0#", "1", "2#", "1/x/0", "/r/s", "3")] == ["/a/b/c", "/a/b/c", "c", "/a/b", "a", "/a/b/x/0", "/r/s", "/"]
+    with pytest.raises(ValueError, match="beyond the root"):
+        at("/a", "2")
+
+
+def test_details_of_plans_and_other_layouts(spark):
+    texts = [
+        ("plan", '{"resource_changes": [{"address": "a.b", "type": "a", "change": {"after": {"x": {"z": 1}}}}]}'),
+        ("template", "Resources:\n  r:\n    Type: T\n    Properties:\n      x: {z: 1}\n"),
+        ("other", "x: {z: 1}"),
+    ]
+    docs = load_documents(texts_of(spark, texts), keep_content=True)
+    rules = "rule p when resource_changes exists { resource_changes[*].change.after.x.z == 2 }\nrule t when Resources exists { Resources.r.Properties.x.z == 2 }\nrule o when x exists { x.z == 2 }"
+    found = R.resource_details(R.failed_with_names(docs, rules, "name", "document"), docs).orderBy("name").collect()
+    assert [(r.name, r.layout, r.resource, r.type, r.property, r.value) for r in found] == [("plan", "plan", "a.b", "a", "x/z", "1"), ("template", "template", "r", "T", "Properties/x/z", "1")]
+    assert found[1].code == ["    3.    Type: T", "    4.    Properties:", "    5.      x: {z: 1}", "    6."]
+
+
 # -- rule tests
 
 SPECS = """
