@@ -67,11 +67,15 @@ def main() -> None:
         "nested_rules_variant": lambda: noop(evaluate(variants, nested, ["o_orderkey"], "doc")),
         "nested_checks_typed": lambda: noop(compile_rules(docs, nested, detail=True).frame),
         "text_rules": lambda: noop(evaluate(table("documents"), TEXT, ["doc_id"])),
+        "alternatives_40": lambda: noop(evaluate(table("orders"), "rule r { " + " or ".join(f"o_custkey == {k}" for k in range(40)) + " }", ["o_orderkey"])),
+        "rules_100": lambda: noop(evaluate(table("orders"), "\n".join(f"rule r{k} {{ o_custkey > {k} }}" for k in range(100)), ["o_orderkey"])),
         "flagship": lambda: noop(rules.flagship(spark, folder)),
         "a8_rulegen": lambda: noop(rules.QUERIES["a8_rulegen"](spark, folder)),
         "s6_s8_load_yaml": lambda: noop(rules.QUERIES["s6_s8_load_yaml"](spark, folder)),
         "k7_k16_report": lambda: noop(rules.QUERIES["k7_k16_report"](spark, folder)),
         "x3_json_parse": lambda: noop(rules.QUERIES["x3_json_parse"](spark, folder)),
+        "k8_a7_junit": lambda: noop(rules.QUERIES["k8_a7_junit"](spark, folder)),
+        "k11_event_trees": lambda: noop(rules.QUERIES["k11_event_trees"](spark, folder)),
     }
     counts = {"lineitem": table("lineitem").count(), "orders": docs.count(), "documents": table("documents").count()}
     took = {}
