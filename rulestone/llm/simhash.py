@@ -24,6 +24,8 @@ from .components import components
 BUDGET, SHINGLE = 4, 4
 #: For a similarity of about 0.8 of sets of five-word shingles, at which half of all pairs differ in 8 bits or fewer.
 BUDGET_AT_08, SHINGLE_AT_08 = 8, 5
+#: Independent fingerprints of a text by which near copies are looked for; a pair is a candidate by any of them.
+SKETCHES = 4
 #: A trie top holds so many fingerprints on average at most; one with more than CHUNK is dealt out as pairs of chunks.
 FEW, CHUNK = 4096, 8192
 #: Nodes with so few fingerprints are compared as a block.
@@ -36,23 +38,44 @@ SIMILAR = (4, 5)
 SMALL_ROWS = 100_000
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """A-Z are lower-cased; words are what stands between ASCII white space; the hash is XXH64 with seed 42 over UTF-8.
-    A bit is 1 if set in over half the shingles, repeats included. No words: 0."""
+def _hashes(text: str, shingle: int) -> np.ndarray:
+    """XXH64 with seed 42 of the shingles, repeats included: A-Z are lower-cased; words are what stands between ASCII white
+    space; fewer words than a shingle are one. No words: none."""
     words = text.encode().lower().split()
-    if not words:
-        return 0
     one = xxhash.xxh64_intdigest
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return one(joined, 42)
+        return np.array([one(joined, 42)] if words else [], "<u8")
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     begins = [0, *(ends[: len(words) - shingle] + 1).tolist()]
-    hashes = np.array([one(joined[a:b], 42) for a, b in zip(begins, ends[shingle - 1 :].tolist(), strict=True)], "<u8")
+    return np.array([one(joined[a:b], 42) for a, b in zip(begins, ends[shingle - 1 :].tolist(), strict=True)], "<u8")
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """A bit is 1 if set in over half the hashes. No hashes: 0."""
+    if not len(hashes):
+        return 0
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """The bitwise majority of the hashes of a text's shingles."""
+    return _majority(_hashes(text, shingle))
+
+
+def sketches(text: str, shingle: int, number: int = SKETCHES) -> list[int]:
+    """number fingerprints, the first that of fingerprint(); for each other one the hashes are mixed anew."""
+    hashes = _hashes(text, shingle)
+    found = [_majority(hashes)]
+    for k in range(1, number):
+        mixed = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            mixed = (mixed ^ mixed >> np.uint64(shift)) * np.uint64(odd)
+        found.append(_majority(mixed ^ mixed >> np.uint64(31)))
+    return found
+
+
 def shingles(words: list[bytes], shingle: int) -> np.ndarray:
     """The distinct 64-bit hashes of a text's shingles, sorted; words as fingerprint() takes them."""
     found = {xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(max(1, len(words) - shingle + 1))}
@@ -197,11 +220,11 @@ def _link_groups(budget: int):
     return run
 
 
-def links(distinct: DataFrame, budget: int = BUDGET, chunk: int = CHUNK, few: int = FEW) -> DataFrame:
-    """distinct: fp, node (longs, each once). Returns a, b: links between nodes that connect exactly those that a chain
+def links(distinct: DataFrame, budget: int = BUDGET, chunk: int = CHUNK, few: int = FEW, apart: list[Column] | None = None) -> DataFrame:
+    """distinct: fp, node (longs, each once); rows that differ in apart, columns of distinct, are never compared. Returns a, b: links between nodes that connect exactly those that a chain
     of fingerprints with at most budget differing bits connects (a spanning set, not all pairs)."""
     on_top = masks(budget, blocks_on_top(distinct.count(), budget, few))
-    tops = F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(on_top)]))
+    tops = F.explode(F.array(*[F.xxhash64(F.lit(i), *(apart or []), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(on_top)]))
     rows = distinct.select(tops.alias("top"), "fp", "node")
     large = checkpoint(rows.groupBy("top").count().filter(F.col("count") > chunk).withColumnRenamed("top", "large"))
     large = F.broadcast(large) if large.count() <= SMALL_ROWS else large
@@ -243,22 +266,23 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGL
 
 
 def _texts(docs: DataFrame, shingle: int) -> DataFrame:
-    """Distinct texts (as words, case aside) with an identity of their own: node, fp and first, the
-    first row of the text by doc_id (rows without one come last) and text hash."""
+    """Distinct texts (as words, case aside) with an identity of their own: node, fps (its sketches) and
+    first, the first row of the text by doc_id (rows without one come last) and text hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py() for t in batch.column(3)]
             words = [b" ".join(t.encode().lower().split()) for t in texts]
             keys = np.array([(d >> 64, d & (1 << 64) - 1) for d in map(xxhash.xxh3_128_intdigest, words)], np.uint64).reshape(-1, 2)
-            found = np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, len(texts))
-            columns = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (keys[:, 0], keys[:, 1], found)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["doc_id", "h1", "h2", "k1", "k2", "fp"])
+            found = np.array([sketches(t, shingle) for t in texts], np.uint64).reshape(-1, SKETCHES).view(np.int64)
+            columns = [pa.array(np.ascontiguousarray(keys[:, k]).view(np.int64)) for k in (0, 1)]
+            columns.append(pa.array(list(found), pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["doc_id", "h1", "h2", "k1", "k2", "fps"])
 
-    rows = docs.select(*_row(), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, h1 long, h2 long, k1 long, k2 long, fp long")
+    rows = docs.select(*_row(), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, h1 long, h2 long, k1 long, k2 long, fps array<long>")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "h1", "h2")).alias("first")
-    distinct = rows.groupBy("k1", "k2").agg(F.min("fp").alias("fp"), first)
-    return checkpoint(distinct.select(F.monotonically_increasing_id().alias("node"), "fp", "first"))
+    distinct = rows.groupBy("k1", "k2").agg(F.min("fps").alias("fps"), first)
+    return checkpoint(distinct.select(F.monotonically_increasing_id().alias("node"), "fps", "first"))
 
 
 def _row() -> list[Column]:
@@ -277,19 +301,42 @@ def _rows_of(docs: DataFrame, named: DataFrame) -> DataFrame:
 
 
 def _verify_groups(budget: int, shingle: int):
-    def flush(prints: list[int], nodes: list[int], texts: list[str]) -> Iterator[tuple[int, int]]:
-        order = sorted(dict(zip(nodes, range(len(nodes)), strict=True)).values(), key=lambda i: (prints[i], nodes[i]))
+    def flush(prints: list[list[int]], nodes: list[int], texts: list[str]) -> Iterator[tuple[int, int]]:
+        rows = list(dict(zip(nodes, range(len(nodes)), strict=True)).values())
         known: dict[int, np.ndarray] = {}
+        root = list(range(len(rows)))
+        denied = np.zeros((len(rows), len(rows)), bool)
 
         def of(i: int) -> np.ndarray:
             if i not in known:
-                known[i] = shingles(texts[order[i]].encode().lower().split(), shingle)
+                known[i] = shingles(texts[rows[i]].encode().lower().split(), shingle)
             return known[i]
 
-        values = np.array([prints[i] for i in order], np.uint64)
-        for i, j in enumerate(trie_links(values, budget, lambda x, y: alike(of(x), of(y))).tolist()):
-            if i != j:
-                yield nodes[order[i]], nodes[order[j]]
+        def up(i: int) -> int:
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            return i
+
+        def same(x: int, y: int) -> bool:
+            """Whether a chain of links found so far, by any sketch, or a new one connects them."""
+            a, b = up(x), up(y)
+            if a == b:
+                return True
+            if denied[x, y]:
+                return False
+            if alike(of(x), of(y)):
+                root[max(a, b)] = min(a, b)
+                return True
+            denied[x, y] = denied[y, x] = True
+            return False
+
+        for k in range(SKETCHES):
+            order = sorted(range(len(rows)), key=lambda i: (prints[rows[i]][k] & (1 << 64) - 1, i))
+            values = np.array([prints[rows[i]][k] & (1 << 64) - 1 for i in order], np.uint64)
+            trie_links(values, budget, lambda x, y: same(order[x], order[y]))  # noqa: B023
+        for i in range(len(rows)):
+            if up(i) != i:
+                yield nodes[rows[i]], nodes[rows[up(i)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, ([], [], [])
@@ -299,12 +346,12 @@ def _verify_groups(budget: int, shingle: int):
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for at, fp, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for at, fps, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if at != group and held[0]:
                     yield done()
                     held = ([], [], [])
                 group = at
-                for column, value in zip(held, (fp & (1 << 64) - 1, node, text), strict=True):
+                for column, value in zip(held, (fps, node, text), strict=True):
                     column.append(value)
         if held[0]:
             yield done()
@@ -314,34 +361,35 @@ def _verify_groups(budget: int, shingle: int):
 
 def verified_links(docs: DataFrame, texts: DataFrame, budget: int, shingle: int, chunk: int = TEXTS) -> DataFrame:
     """texts: of _texts(). Returns a, b: links that connect exactly those nodes that a chain of texts connects whose
-    neighbours differ in at most budget bits and are alike(). What chains of bits alone connect is only where links can
-    be; each such group's texts are compared, in all pairs of its chunks if it is large."""
-    distinct = checkpoint(texts.groupBy("fp").agg(F.min("node").alias("node")))
-    found = components(links(distinct, budget))
-    groups = texts.join(distinct.select(F.col("fp").alias("of"), F.col("node").alias("at")), F.col("fp") == F.col("of")).join(
-        found.withColumnRenamed("node", "linked"), F.col("at") == F.col("linked"), "left"
-    )
-    groups = checkpoint(groups.select("node", "fp", "first", F.coalesce("component", "at").alias("group")))
+    neighbours differ in at most budget bits of one sketch and are alike(). What chains of bits alone connect is only
+    where links can be; each such group's texts are compared, in all pairs of its chunks if it is large."""
+    sketched = texts.select("node", F.posexplode("fps").alias("which", "fp"))
+    distinct = checkpoint(sketched.groupBy("which", "fp").agg(F.min("node").alias("node")))
+    equal = sketched.join(distinct.withColumnRenamed("node", "least"), ["which", "fp"]).filter(F.col("node") != F.col("least"))
+    near = links(distinct, budget, few=FEW * SKETCHES, apart=[F.col("which")])
+    found = components(near.union(equal.select("node", "least")))
+    groups = texts.join(found.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
+    groups = checkpoint(groups.select("node", "fps", "first", F.coalesce("component", "node").alias("group")))
     sizes = checkpoint(groups.groupBy("group").count().filter(F.col("count") > 1).withColumnRenamed("group", "sized"))
     sizes = F.broadcast(sizes) if sizes.count() <= SMALL_ROWS else sizes
     parts = F.ceil(F.col("count") / chunk).cast("int")
-    suspects = checkpoint(groups.join(sizes, F.col("group") == F.col("sized")).select("node", "fp", "first", "group", parts.alias("parts")))
+    suspects = checkpoint(groups.join(sizes, F.col("group") == F.col("sized")).select("node", "fps", "first", "group", parts.alias("parts")))
     read = _rows_of(docs.select("doc_id", "text"), suspects)
     by = F.col(read.columns[-1])
-    read = read.select(*[by[c].alias(f"_{c}") for c in ("node", "fp", "group", "parts")], text_or_empty().alias("text"))
+    read = read.select(*[by[c].alias(f"_{c}") for c in ("node", "fps", "group", "parts")], text_or_empty().alias("text"))
     own = F.pmod(F.xxhash64("_node"), F.col("_parts")).cast("int")
     read = read.dropDuplicates(["_node"])  # rows may repeat
     dealt = read.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     top = F.struct("_group", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")).alias("top")
-    dealt = dealt.select(top, "_fp", "_node", "text").repartition("top").sortWithinPartitions("top")
-    flat = dealt.select(F.concat_ws("/", "top._group", "top.low", "top.high").alias("top"), "_fp", "_node", "text")
+    dealt = dealt.select(top, "_fps", "_node", "text").repartition("top").sortWithinPartitions("top")
+    flat = dealt.select(F.concat_ws("/", "top._group", "top.low", "top.high").alias("top"), "_fps", "_node", "text")
     return flat.mapInArrow(_verify_groups(budget, shingle), "a long, b long")
 
 
 def keep_one(docs: DataFrame, budget: int = BUDGET_AT_08, shingle: int = SHINGLE_AT_08) -> DataFrame:
     """docs with one row of each component of near copies, the first by doc_id and then text hash; columns as given.
 
-    Near copies are texts whose fingerprints differ in at most budget bits and whose sets of shingles have a Jaccard
+    Near copies are texts of which one of SKETCHES fingerprints differs in at most budget bits and whose sets of shingles have a Jaccard
     similarity of at least SIMILAR; texts with the same words are copies, and so are all texts without words. Rows are
     told apart by id and text, so those that share a doc_id but not the text have links of their own; rows without a
     doc_id come after those with one."""

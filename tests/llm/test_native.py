@@ -277,6 +277,43 @@ def test_simhash_fingerprint():
         assert simhash.fingerprint(text) == slow_fingerprint(text)
 
 
+def test_sketches():
+    """The first is the fingerprint; others are majorities over hashes mixed anew, by plain integers."""
+    full = (1 << 64) - 1
+    for text in ("", " \n", "one", "a b c d e", " ".join(f"w{i % 37}" for i in range(200))):
+        words = text.encode().lower().split()
+        hashes = [xxhash.xxh64_intdigest(b" ".join(words[i : i + 5]), 42) for i in range(max(1, len(words) - 4))] if words else []
+        want = []
+        for k in range(4):
+            mixed = []
+            for h in hashes:
+                if k:
+                    h = h + k * 0x9E3779B97F4A7C15 & full
+                    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & full
+                    h = (h ^ h >> 27) * 0x94D049BB133111EB & full
+                    h ^= h >> 31
+                mixed.append(h)
+            want.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in mixed) > len(mixed)))
+        assert simhash.sketches(text, 5, 4) == want
+        assert want[0] == simhash.fingerprint(text, 5)
+
+
+def test_a_later_sketch_finds_what_the_first_misses(spark):
+    """Pairs at a similarity of 0.8 or more that are over the budget in the first sketch and within it in another."""
+    pick, found = random.Random(12), []
+    while len(found) < 3:
+        words = [f"w{pick.randrange(100_000)}" for _ in range(120)]
+        copy = list(words)
+        for at in pick.sample(range(120), 2):
+            copy[at] = "other"
+        both = " ".join(words), " ".join(copy)
+        apart = [(a ^ b).bit_count() for a, b in zip(*(simhash.sketches(t, 5) for t in both), strict=True)]
+        if apart[0] > simhash.BUDGET_AT_08 >= min(apart) and _jaccard(words, copy) >= 0.8:
+            found.append(both)
+    rows = [(i, t, None, None, None) for i, t in enumerate(t for pair in found for t in pair)]
+    assert sorted(r.doc_id for r in simhash.keep_one(table(spark, rows)).collect()) == [0, 2, 4]
+
+
 def plain_components(ids, prints, budget):
     label = list(range(len(ids)))
 
