@@ -25,8 +25,10 @@ from .common import checkpoint
 
 #: Projected dimensions (even), the chance of the stopping test, seed of the Gaussians.
 PROJECTED, CHANCE, SEED = 16, 0.97, 20
-#: Candidates of one part of a cell; queries that meet it in one task; points of a tree's leaf; leaves between two tests.
+#: Candidates of one part of a cell; queries that meet it in one task; points of a tree's leaf; leaves before the first test.
 BLOCK, QUERY_BLOCK, LEAF, STEP = 16384, 4096, 48, 8
+#: Queries of a block that are taken together; what single precision may err by, for vectors of length 1.
+TOGETHER, SLACK = 64, 2e-5
 #: Cells that a query looks into at first.
 PROBES = 4
 #: Most projected vectors that the cells are cut by; all vectors are dealt to cells.
@@ -160,48 +162,104 @@ def cut_cells(points: np.ndarray, wanted: int) -> Cells:
 
 
 class Block:
-    """Candidates of one part of a cell with their tree: distinct vectors, each with its least ids in order."""
+    """Candidates of one part of a cell with their tree: distinct vectors, each with its least ids in order.
+
+    The walk is made on single-precision copies of one scale, with SLACK on all that it leaves out; what can be among the
+    best is scored anew on the original vectors, alike for equal ones."""
 
     def __init__(self, space: Space, vectors: np.ndarray, ids: list[list[int]], chance: float):
-        self.space, self.vectors, self.ids = space, vectors, ids
         points = space.candidates(vectors)
-        self.tree, self.ratio = build_tree(points), stopping_ratio(chance)
-        self.points = points[self.tree.order]
-
-    def nearest(self, query: np.ndarray, shown: np.ndarray, k: int, far: float = np.inf) -> tuple[list[tuple[float, int]], int]:
-        """(score, id) of the k best found, ties to smaller ids, and how many candidates were verified. shown: the
-        projected query; far: squared distance of the k-th found elsewhere."""
-        tree, length = self.tree, float(np.sqrt(query @ query))
-        gap = np.maximum(np.maximum(tree.low - shown, shown - tree.high), 0)
-        floor = (gap * gap).sum(1)
-        visit = np.argsort(floor, kind="stable")
-        # scores of the walk are those of fast matrix products; the best are scored anew, alike for equal vectors
-        points, scores, top, bound = [], [], np.empty(0), far
-        for at in range(0, len(visit), STEP):
-            if floor[visit[at]] > self.ratio * bound:
-                break
-            own = np.concatenate([np.arange(a, b) for a, b in tree.bounds[visit[at : at + STEP]]])
-            if np.isfinite(bound):
-                near = self.points[own] - shown
-                own = own[(near * near).sum(1) <= self.ratio * bound]
-            own = tree.order[own]
-            own_scores = self.vectors[own] @ query
-            points.append(own)
-            scores.append(own_scores)
-            top = np.concatenate([top, own_scores])
-            if len(top) >= k:
-                top = np.partition(top, len(top) - k)[len(top) - k :]
-                bound = min(far, self.space.far(float(top.min()), length))
-        if not points:
-            return [], 0
-        every, own = np.concatenate(scores), np.concatenate(points)
-        verified = len(own)
-        if len(top) >= k:
-            own = own[every >= top.min() - 1e-9 * length * np.sqrt(self.space.reach)]
-        every = (self.vectors[own] * query).sum(1)
-        best = [(score, i) for score, point in zip(every.tolist(), own.tolist(), strict=True) for i in self.ids[point][:k]]
-        best.sort(key=lambda x: (-x[0], x[1]))
-        return best[:k], verified
+        tree = build_tree(points)
+        self.space, self.ratio, self.scale = space, stopping_ratio(chance), float(np.sqrt(space.reach))
+        self.vectors, self.ids = vectors[tree.order], [ids[i] for i in tree.order.tolist()]
+        self.unit = (self.vectors / self.scale).astype(np.float32)
+        self.points = (points[tree.order] / self.scale).astype(np.float32)
+        self.norms = (self.points * self.points).sum(1)
+        self.bounds, self.low, self.high = tree.bounds, tree.low / self.scale, tree.high / self.scale
+
+    def floors(self, shown: np.ndarray) -> np.ndarray:
+        """Squared projected distance of each query from each leaf's box."""
+        found = np.zeros((len(shown), len(self.bounds)))
+        for axis in range(shown.shape[1]):
+            at = shown[:, axis, None]
+            gap = np.maximum(np.maximum(self.low[:, axis] - at, at - self.high[:, axis]), 0)
+            found += gap * gap
+        return found
+
+    def rows(self, leaves: np.ndarray) -> np.ndarray:
+        """Places of the leaves' points."""
+        begins, ends = self.bounds[leaves, 0], self.bounds[leaves, 1]
+        sizes = ends - begins
+        return np.arange(sizes.sum()) + np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)
+
+    def nearest(self, queries: np.ndarray, shown: np.ndarray, k: int, far: np.ndarray) -> Iterator[tuple[int, list[tuple[float, int]], int]]:
+        """For each query its place, (score, id) of the k best found, ties to smaller ids, and how many candidates were
+        verified. shown: projected queries; far: squared distance of the k-th found elsewhere. Queries near each other are
+        taken together, so that leaves open to none of them are left out before points are looked at."""
+        floors = self.floors(shown / self.scale)
+        alike = np.argsort(floors.argmin(1), kind="stable")
+        for at in range(0, len(alike), TOGETHER):
+            own = alike[at : at + TOGETHER]
+            yield from self._together(own, queries[own], (shown[own] / self.scale).astype(np.float32), floors[own], k, far[own] / self.space.reach)
+
+    def _together(self, names: np.ndarray, queries: np.ndarray, shown: np.ndarray, floors: np.ndarray, k: int, far: np.ndarray) -> Iterator[tuple[int, list[tuple[float, int]], int]]:
+        lengths = np.sqrt((queries * queries).sum(1))
+        directions = (queries / lengths[:, None]).astype(np.float32)
+        walks = [_Walk(self, directions[i], k, float(far[i])) for i in range(len(names))]
+        nearest = np.argsort(floors, axis=1, kind="stable")[:, :STEP]
+        for i, walk in enumerate(walks):
+            walk.verify(self.rows(np.sort(nearest[i][floors[i, nearest[i]] <= walk.reach()])))
+        open_ = floors <= np.array([walk.reach() for walk in walks])[:, None]
+        np.put_along_axis(open_, nearest, False, 1)
+        leaves = np.flatnonzero(open_.any(0))
+        if len(leaves):
+            rows = self.rows(leaves)
+            of_leaf = np.repeat(leaves, self.bounds[leaves, 1] - self.bounds[leaves, 0])
+            away = self.norms[rows] + (shown * shown).sum(1)[:, None] - 2 * (shown @ self.points[rows].T)
+            for i, walk in enumerate(walks):
+                own = np.flatnonzero(open_[i, of_leaf] & (away[i] <= walk.reach()))
+                step = STEP * LEAF
+                while len(own):  # by projected distance, twice as many each time
+                    if len(own) > 2 * step:
+                        by = np.argpartition(away[i, own], step)
+                        own, then = own[by[:step]], own[by[step:]]
+                    else:
+                        then = own[:0]
+                    walk.verify(rows[np.sort(own)])
+                    own, step = then[away[i, then] <= walk.reach()], 2 * step
+        for name, query, walk in zip(names.tolist(), queries, walks, strict=True):
+            own = walk.places
+            scores = (self.vectors[own] * query).sum(1)
+            best = [(score, j) for score, point in zip(scores.tolist(), own.tolist(), strict=True) for j in self.ids[point][:k]]
+            best.sort(key=lambda x: (-x[0], x[1]))
+            yield name, best[:k], walk.verified
+
+
+class _Walk:
+    """One query's way through a block: the candidates verified so far that can be among its k best."""
+
+    def __init__(self, block: Block, direction: np.ndarray, k: int, far: float):
+        self.block, self.direction, self.k, self.far = block, direction, k, far
+        self.verified, self.places, self.scores = 0, np.empty(0, np.int64), np.empty(0, np.float32)
+
+    def least(self) -> float:
+        """The k-th score less SLACK."""
+        if len(self.scores) < self.k:
+            return -np.inf
+        return float(np.partition(self.scores, len(self.scores) - self.k)[len(self.scores) - self.k]) - SLACK
+
+    def reach(self) -> float:
+        """Squared projected distance from which on a better one is too unlikely."""
+        bound = min(self.far, max(0.0, 2 - 2 * self.least()))
+        return self.block.ratio * bound + PROJECTED * SLACK
+
+    def verify(self, places: np.ndarray) -> None:
+        found = self.block.unit[places] @ self.direction
+        self.verified += len(places)
+        keep = found >= self.least()
+        self.places, self.scores = np.concatenate([self.places, places[keep]]), np.concatenate([self.scores, found[keep]])
+        keep = self.scores >= self.least()
+        self.places, self.scores = self.places[keep], self.scores[keep]
 
 
 def usable(vector: str = "embedding") -> Column:
@@ -271,9 +329,12 @@ def _meet(queries: DataFrame, candidates: DataFrame, spaces: dict[int, Space], k
             index = None
             if theirs.num_rows:
                 index = Block(spaces[key[0].as_py()], _matrix(theirs.column("v"), theirs.num_rows), theirs.column("ids").to_pylist(), chance)
-            asked = zip(own.column("id").to_pylist(), _matrix(own.column("v"), own.num_rows), _matrix(own.column("p"), own.num_rows), own.column("far").to_pylist(), strict=True)
-            for name, query, shown, far in asked:
-                best, verified = index.nearest(query, shown, k, np.inf if far is None else far) if index else ([], 0)
+            names = own.column("id").to_pylist()
+            far = np.array([np.inf if x is None else x for x in own.column("far").to_pylist()])
+            nothing = ((at, [], 0) for at in range(len(names)))
+            asked = index.nearest(_matrix(own.column("v"), own.num_rows), _matrix(own.column("p"), own.num_rows), k, far) if index else nothing
+            for of, best, verified in asked:
+                name = names[of]
                 out += [(name, i, s, 0 if at else verified) for at, (s, i) in enumerate(best)] or [(name, None, None, verified)]
         columns = list(zip(*out, strict=True)) or [(), (), (), ()]
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
