@@ -196,10 +196,12 @@ def _link_groups(budget: int):
         left, right = [nodes[near]], [nodes[near + 1]]
         for lo, n in zip(begins[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
             own, at = np.unique(values[lo : lo + n], return_index=True)
-            label = trie_links(own, budget)
-            linked = np.flatnonzero(label != np.arange(len(own)))
-            left.append(nodes[lo + at[linked]])
-            right.append(nodes[lo + at[label[linked]]])
+            label, node = trie_links(own, budget), nodes[lo + at]
+            least = node.copy()  # of each component, at its label
+            np.minimum.at(least, label, node)
+            linked = np.flatnonzero(node != least[label])
+            left.append(node[linked])
+            right.append(least[label[linked]])
         return np.concatenate(left), np.concatenate(right)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,7 +304,7 @@ def _rows_of(docs: DataFrame, named: DataFrame) -> DataFrame:
 
 def _verify_groups(budget: int, shingle: int):
     def flush(prints: list[list[int]], nodes: list[int], texts: list[str]) -> Iterator[tuple[int, int]]:
-        rows = list(dict(zip(nodes, range(len(nodes)), strict=True)).values())
+        rows = [i for _, i in sorted(dict(zip(nodes, range(len(nodes)), strict=True)).items())]  # so that roots are least nodes
         known: dict[int, np.ndarray] = {}
         root = list(range(len(rows)))
         denied = np.zeros((len(rows), len(rows)), bool)
