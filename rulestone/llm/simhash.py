@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, fresh, text_or_empty
+from .common import checkpoint, few_rows, fresh, text_or_empty
 from .components import components
 
 BUDGET, SHINGLE = 4, 4
@@ -272,8 +272,8 @@ def _texts(docs: DataFrame, shingle: int) -> DataFrame:
     first, the first row of the text by doc_id (rows without one come last) and text hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t.as_py() for t in batch.column(3)]
+        for batch in few_rows(batches):
+            texts = batch.column(3).to_pylist()
             words = [b" ".join(t.encode().lower().split()) for t in texts]
             keys = np.array([(d >> 64, d & (1 << 64) - 1) for d in map(xxhash.xxh3_128_intdigest, words)], np.uint64).reshape(-1, 2)
             found = np.array([sketches(t, shingle) for t in texts], np.uint64).reshape(-1, SKETCHES).view(np.int64)
@@ -347,7 +347,7 @@ def _verify_groups(budget: int, shingle: int):
             found = list(flush(*held))
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-        for batch in batches:
+        for batch in few_rows(batches):
             for at, fps, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if at != group and held[0]:
                     yield done()

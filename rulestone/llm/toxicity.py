@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, fresh, held_out, text_or_empty
+from .common import checkpoint, few_rows, fresh, held_out, text_or_empty
 
 #: Letters that a character may stand for, besides itself.
 LOOKS_LIKE = {
@@ -282,7 +282,7 @@ def features_of(texts: DataFrame, counts: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(LanguageModel(model.value))
-        for batch in batches:
+        for batch in few_rows(batches):
             marks, features, names = [], [], []
             for label, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 own = {xxhash.xxh64_intdigest(f): f for token in restorer.tokens(text) for f in restorer.features(token)}
