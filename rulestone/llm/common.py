@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,6 +49,38 @@ def few_rows(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    batch = None
+    give_back()
+
+
+#: What this worker process keeps from task to task, by operator and name.
+_kept: dict[str, dict[Hashable, object]] = {}
+
+
+def kept[T](operator: str, name: Hashable, make: Callable[[], T]) -> T:
+    """What an operator keeps in a worker from task to task, made at first. A worker outlives an operator's tasks, so it
+    keeps what is one operator's alone: begin() of another one lets it go."""
+    own = _kept.setdefault(operator, {})
+    if name not in own:
+        own[name] = make()
+    return own[name]
+
+
+def begin(operator: str) -> None:
+    """For the start of an operator's task in a worker: what other operators kept there goes."""
+    others = [o for o in _kept if o != operator]
+    for other in others:
+        del _kept[other]
+    if others:
+        gc.collect()
+        give_back()
+
+
+def give_back() -> None:
+    """Memory that is free, but held back by this process's allocators, goes to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def fresh(columns: Iterable[str], *names: str) -> list[str]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import begin, give_back, kept, text_or_empty
 from .segments import SegmentEncoder
 
 #: Documents that a worker holds the pieces of at once.
@@ -44,12 +44,10 @@ def id_lists(lengths: list[int], ids: bytes) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(ids, "<i4")))
 
 
-_encoders: dict[str, SegmentEncoder] = {}
-
-
 def encoder(path: str) -> SegmentEncoder:
-    """One for each tokenizer file and worker process."""
-    if path not in _encoders:
+    """One for each tokenizer file and worker process, while it packs."""
+
+    def make() -> SegmentEncoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
@@ -65,8 +63,9 @@ def encoder(path: str) -> SegmentEncoder:
                 ids = tokenizer.encode(text, add_special_tokens=False).ids
             return array("I", ids).tobytes()
 
-        _encoders[path] = SegmentEncoder(encode)
-    return _encoders[path]
+        return SegmentEncoder(encode)
+
+    return kept("packing", path, make)
 
 
 def pieces(docs: DataFrame, tokenizer: str, longest: int = 1024, end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -78,6 +77,7 @@ def pieces(docs: DataFrame, tokenizer: str, longest: int = 1024, end_id: int = 0
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("packing")
         encode, end = encoder(tokenizer), struct.pack("<I", end_id)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
@@ -101,6 +101,8 @@ def pieces(docs: DataFrame, tokenizer: str, longest: int = 1024, end_id: int = 0
                     columns.append(id_lists(rows[2], b"".join(texts)))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        batch = few = columns = text = None
+        give_back()
 
     wanted = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
     return wanted.mapInArrow(cut, SCHEMA + ", ids array<int>" * with_ids)

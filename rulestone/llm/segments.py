@@ -18,7 +18,7 @@ _SPACE = re.compile(r" (?=\S)")
 
 #: Longer segments are encoded anew each time. A memory that holds so many segments becomes the older one and a new one
 #: is begun; what is found in the older one comes over, so segments that recur stay and the others go.
-LONGEST, MOST = 64, 400_000
+LONGEST, MOST = 64, 200_000
 
 
 class SegmentMemory(dict):

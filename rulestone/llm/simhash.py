@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, few_rows, fresh, text_or_empty
+from .common import begin, checkpoint, few_rows, fresh, text_or_empty
 from .components import components
 
 BUDGET, SHINGLE = 4, 4
@@ -95,7 +95,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (long with the fingerprint's bits). A null text is an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        begin("simhash")
+        for batch in few_rows(batches):
             found = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
@@ -205,6 +206,7 @@ def _link_groups(budget: int):
         return np.concatenate(left), np.concatenate(right)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("simhash")
         held = [np.empty(0, np.int64) for _ in range(3)]
         for batch in batches:
             rows = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
@@ -272,6 +274,7 @@ def _texts(docs: DataFrame, shingle: int) -> DataFrame:
     first, the first row of the text by doc_id (rows without one come last) and text hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("simhash")
         for batch in few_rows(batches):
             texts = batch.column(3).to_pylist()
             words = [b" ".join(t.encode().lower().split()) for t in texts]
@@ -341,6 +344,7 @@ def _verify_groups(budget: int, shingle: int):
                 yield nodes[rows[i]], nodes[rows[up(i)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("simhash")
         group, held = None, ([], [], [])
 
         def done() -> pa.RecordBatch:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, few_rows, fresh, held_out, text_or_empty
+from .common import begin, checkpoint, few_rows, fresh, give_back, held_out, text_or_empty
 
 #: Letters that a character may stand for, besides itself.
 LOOKS_LIKE = {
@@ -281,6 +281,7 @@ def features_of(texts: DataFrame, counts: np.ndarray) -> DataFrame:
     model = texts.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity")
         restorer = Restorer(LanguageModel(model.value))
         for batch in few_rows(batches):
             marks, features, names = [], [], []
@@ -372,8 +373,9 @@ def gather_trigrams(docs: DataFrame) -> np.ndarray:
     """Trigram counts of all documents; what comes to the driver has at most SIZE**3 (21952) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity")
         found = np.zeros(SIZE**3, np.int64)
-        for batch in batches:
+        for batch in few_rows(batches):
             found += count_trigrams(t.as_py() for t in batch.column(0))
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(found[at])], names=["at", "n"])
@@ -409,7 +411,9 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
+        begin("toxicity")
         own = model.value
+        give_back()  # of the batch before
         return pa.array([own.score(t.as_py()) for t in texts], pa.float64())
 
     return docs.withColumn("toxicity", scored(text_or_empty()))

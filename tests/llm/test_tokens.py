@@ -2,6 +2,7 @@
 
 import random
 import struct
+import weakref
 import zlib
 
 import public_tokenizers
@@ -9,7 +10,8 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from rulestone.llm import bpe, packing
+from rulestone.llm import bpe, packing, segments
+from rulestone.llm.common import begin
 
 DOCS = "doc_id long, text string, start int, ids string"
 SIGNS = [" ", " ", "\n", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", "a", "b", "'s", "'ll", "é", "1", "23", ".", "!", "<|endoftext|>", "的", "😀", "́", "​", "\x00"]
@@ -102,3 +104,20 @@ def test_encode(spark, encoding):
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], DOCS)
     found = bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True).collect()
     assert {r.doc_id: r.ids for r in found} == {i: encoding.encode_ordinary(t or "") for i, t in enumerate(texts)}
+
+
+def test_a_worker_lets_go_of_what_another_operator_kept():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    held = weakref.ref(packing.encoder(path))
+    begin("packing")
+    assert held() is not None and packing.encoder(path) is held()
+    begin("toxicity")
+    assert held() is None
+
+
+def test_memories_of_segments_are_bounded(monkeypatch):
+    monkeypatch.setattr(segments, "MOST", 10)
+    encode = segments.SegmentEncoder(str.encode)
+    text = " ".join(f"w{i % 37}{'!?;'[i % 3]}" for i in range(300))
+    assert encode(text) == text.encode()
+    assert all(len(m) <= 10 and len(m.older) <= 10 for m in (encode.first, encode.later, encode.later.tails))
